@@ -4,7 +4,25 @@ from __future__ import annotations
 
 TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+'))"
 
+#: memories by id, with hashed distinct words and the vector in double precision where usable.
+RECORDS = r"""
+m AS (SELECT DISTINCT ON (id) id, content, vector FROM memories WHERE id IS NOT NULL),
+f AS (
+  SELECT id, list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+')) AS w,
+    CASE WHEN len(vector) = 96 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(vector, lambda x: x <> 0)) > 0 THEN CAST(vector AS DOUBLE[]) END AS v
+  FROM m),
+u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM f WHERE v IS NOT NULL),
+wd AS (SELECT id, len(w) AS k, unnest(w) AS t FROM f WHERE len(w) >= 8),
+alike AS (
+  SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.id < b.id
+  WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.985
+  UNION
+  SELECT a.id, b.id FROM wd a JOIN wd b ON a.t = b.t AND a.id < b.id
+  GROUP BY a.id, b.id, a.k, b.k HAVING count(*) >= 0.7 * (a.k + b.k - count(*)) - 1e-9)"""
+
 ORACLES = {
+    "p4_found": f"WITH {RECORDS} SELECT x AS memory_id_a, y AS memory_id_b FROM alike",
     "p1_found": """
 WITH RECURSIVE ids AS (SELECT DISTINCT id FROM memories),
 e AS (
