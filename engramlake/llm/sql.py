@@ -21,7 +21,26 @@ alike AS (
   SELECT a.id, b.id FROM wd a JOIN wd b ON a.t = b.t AND a.id < b.id
   GROUP BY a.id, b.id, a.k, b.k HAVING count(*) >= 0.7 * (a.k + b.k - count(*)) - 1e-9)"""
 
+
+
+def _near(field: str, dim: int) -> str:
+    return f"""
+SELECT least(x, y) AS memory_id_a, greatest(x, y) AS memory_id_b, '{field}' AS vec_field FROM (
+  SELECT a.id AS x, b.id AS y, list_dot_product(a.v, b.v) / (a.n * b.n) AS c,
+    row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) / (a.n * b.n) DESC, b.id) AS r
+  FROM {field}_u a JOIN {field}_u b ON a.id <> b.id) WHERE r <= 5 AND c >= 0.96"""
+
+
+def _usable(field: str, dim: int) -> str:
+    return f"""{field}_u AS (
+  SELECT id, CAST({field} AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST({field} AS DOUBLE[]), CAST({field} AS DOUBLE[]))) AS n
+  FROM (SELECT DISTINCT ON (id) id, {field} FROM memories WHERE id IS NOT NULL)
+  WHERE len({field}) = {dim} AND len(list_filter({field}, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter({field}, lambda x: x <> 0)) > 0)"""
+
+
 ORACLES = {
+    "p3_found": f"WITH {_usable('vector', 96)}, {_usable('tags_vector', 32)} {_near('vector', 96)} UNION {_near('tags_vector', 32)}",
     "p4_found": f"WITH {RECORDS} SELECT x AS memory_id_a, y AS memory_id_b FROM alike",
     "p1_found": """
 WITH RECURSIVE ids AS (SELECT DISTINCT id FROM memories),
