@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import AS_OF, read
-from . import p1_groups, p3_neighbours, p4_neardup, p5_survivor, p7_packing, p8_mixing, p9_abuse
+from . import p1_groups, p2_history, p3_neighbours, p4_neardup, p5_survivor, p7_packing, p8_mixing, p9_abuse
 from .sql import ORACLES  # noqa: F401
 
 
@@ -14,6 +14,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_groups.memory_groups(read(spark, d, "links"), read(spark, d, "memories"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_history.repeats(read(spark, d, "memories"), read(spark, d, "incoming"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_neighbours.close_pairs(read(spark, d, "memories"), {"vector": 96, "tags_vector": 32})
 
@@ -92,6 +96,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found,
+        p2_found,
         p3_found,
         p4_found,
         p5_found,

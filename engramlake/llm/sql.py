@@ -4,9 +4,13 @@ from __future__ import annotations
 
 TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+'))"
 
-#: memories by id, with hashed distinct words and the vector in double precision where usable.
+MEMORIES = "SELECT DISTINCT ON (id) id, content, vector FROM memories WHERE id IS NOT NULL"
+BOTH = """
+SELECT DISTINCT ON (id) id, content, vector, -1 AS ord FROM memories WHERE id IS NOT NULL
+UNION ALL SELECT * FROM (SELECT DISTINCT ON (incoming_id) incoming_id, content, vector, seq FROM incoming ORDER BY incoming_id, seq)"""
+#: records by id, with hashed distinct words and the vector in double precision where usable.
 RECORDS = r"""
-m AS (SELECT DISTINCT ON (id) id, content, vector FROM memories WHERE id IS NOT NULL),
+m AS ({rows}),
 f AS (
   SELECT id, list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[\p{L}\p{N}]+')) AS w,
     CASE WHEN len(vector) = 96 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -41,7 +45,10 @@ def _usable(field: str, dim: int) -> str:
 
 ORACLES = {
     "p3_found": f"WITH {_usable('vector', 96)}, {_usable('tags_vector', 32)} {_near('vector', 96)} UNION {_near('tags_vector', 32)}",
-    "p4_found": f"WITH {RECORDS} SELECT x AS memory_id_a, y AS memory_id_b FROM alike",
+    "p2_found": "WITH " + RECORDS.replace("{rows}", BOTH) + """
+SELECT DISTINCT CASE WHEN sa.ord > sb.ord THEN x ELSE y END AS incoming_id
+FROM alike JOIN m sa ON sa.id = x JOIN m sb ON sb.id = y WHERE sa.ord <> sb.ord""",
+    "p4_found": "WITH " + RECORDS.replace("{rows}", MEMORIES) + " SELECT x AS memory_id_a, y AS memory_id_b FROM alike",
     "p1_found": """
 WITH RECURSIVE ids AS (SELECT DISTINCT id FROM memories),
 e AS (
