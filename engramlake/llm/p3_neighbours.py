@@ -33,7 +33,9 @@ from .common import cosine, stack, unit, usable
 #: Rows that the centres are fitted on, and vectors that a cell should hold.
 SAMPLE, CELL = 20_000, 400
 #: Width of the error bound in standard deviations.
-SIGMAS = 3.0
+SIGMAS = 2.2
+#: Bits of a code, at least: shorter vectors are padded before the rotation, which narrows the bound.
+BITS = 96
 #: Candidate ids up to this number are broadcast to prune the scan for reranking; beyond it they are joined by shuffle.
 BROADCAST_IDS = 300_000
 
@@ -58,8 +60,10 @@ def centres(vectors: DataFrame, rows: int, dim: int, seed: int = 0) -> np.ndarra
 
 
 def rotation(dim: int, seed: int = 1) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+    """Rows of a random orthogonal matrix: takes a vector of dim values, padded with zeros, to max(BITS, dim) axes."""
+    bits = max(BITS, -(-dim // 8) * 8)
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r))).astype(np.float32)[:dim]
 
 
 ENTRY = "cell int, is_query boolean, h long, code binary, scale float, fit float"
@@ -83,7 +87,7 @@ def encode(vectors: DataFrame, c: np.ndarray, p: np.ndarray, probes: int) -> Dat
             home = sims.argmax(axis=1)
             r = (x - c[home]) @ p
             length = np.linalg.norm(r, axis=1)
-            fit = np.abs(r).sum(axis=1) / np.maximum(length, 1e-12) / np.sqrt(x.shape[1])
+            fit = np.abs(r).sum(axis=1) / np.maximum(length, 1e-12) / np.sqrt(p.shape[1])
             bits = np.packbits(r > 0, axis=1)
             yield pd.DataFrame(
                 {"cell": home.astype(np.int32), "is_query": False, "h": h, "code": [z.tobytes() for z in bits], "scale": length, "fit": fit}
@@ -146,13 +150,13 @@ def candidates(vectors: DataFrame, rows: int, dim: int, k: int, least: float, pr
     found = (
         encode(vectors, c, p, probes)
         .groupBy("cell")
-        .applyInPandas(lambda pdf: _scan(pdf, dim, k, least, block), "a long, b long")
+        .applyInPandas(lambda pdf: _scan(pdf, p.shape[1], k, least, block), "a long, b long")
     )
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def neighbours(
-    records: DataFrame, field: str, dim: int, k: int = 5, least: float = -1.0, probes: int = 6
+    records: DataFrame, field: str, dim: int, k: int = 5, least: float = -1.0, probes: int = 4
 ) -> DataFrame:
     """(id, other, cosine, rank): the k most similar others of each record(id, field), best first.
 
@@ -212,7 +216,7 @@ def neighbours(
     )
 
 
-def close_pairs(records: DataFrame, fields: dict[str, int], k: int = 5, least: float = 0.96, probes: int = 6) -> DataFrame:
+def close_pairs(records: DataFrame, fields: dict[str, int], k: int = 5, least: float = 0.96, probes: int = 4) -> DataFrame:
     """(memory_id_a, memory_id_b, vec_field): pairs in which one is among the k most similar of the other."""
     out = None
     for field, dim in fields.items():
