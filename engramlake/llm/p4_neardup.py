@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -47,13 +47,18 @@ def features(records: DataFrame, dim: int = DIM, min_words: int = MIN_WORDS) ->
     )
 
 
-def alike(min_cosine: float = MIN_COSINE, min_jaccard: float = MIN_JACCARD):
-    """Exact test of (w1, v1) and (w2, v2)."""
-    common = F.size(F.array_intersect("w1", "w2"))
-    union = F.size("w1") + F.size("w2") - common
-    return F.coalesce(cosine(F.col("v1"), F.col("v2")) >= min_cosine, F.lit(False)) | F.coalesce(
-        common >= min_jaccard * union - 1e-9, F.lit(False)
-    )
+def jaccard_test(a: str, b: str, min_jaccard: float) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return F.coalesce(common >= min_jaccard * (F.size(a) + F.size(b) - common) - 1e-9, F.lit(False))
+
+
+def cosine_test(a: str, b: str, min_cosine: float) -> Column:
+    return F.coalesce(cosine(F.col(a), F.col(b)) >= min_cosine, F.lit(False))
+
+
+def tests(min_cosine: float, min_jaccard: float) -> tuple[Column, Column]:
+    """Exact tests of words and of vectors, as columns x1 and x2."""
+    return jaccard_test("x1", "x2", min_jaccard), cosine_test("x1", "x2", min_cosine)
 
 
 def word_keys(f: DataFrame, df: np.ndarray, texts: int) -> DataFrame:
@@ -83,16 +88,16 @@ def vector_keys(f: DataFrame, space: sig.VectorSpace) -> DataFrame:
     return f.filter("v is not null").select("h", "v").mapInPandas(run, "key long, h long, sk long")
 
 
-def copy_classes(f: DataFrame, column: str, rows: int) -> DataFrame:
-    """(c, c2, rep, rep_h) of the values of a column that very many ids hold; at most 20,000 rows."""
+def copy_classes(f: DataFrame, column: str, rows: int, counts: bool = False) -> DataFrame:
+    """(c, c2, rep), and n if asked for, of the values of a column that very many ids hold; at most 20,000 rows."""
     limit = max(64, rows // 20_000)
     return (
         f.filter(F.col(column).isNotNull())
-        .select(F.xxhash64(column).alias("c"), F.hash(column).alias("c2"), "id", "h")
+        .select(F.xxhash64(column).alias("c"), F.hash(column).alias("c2"), "id")
         .groupBy("c", "c2")
-        .agg(F.count("*").alias("n"), F.min(F.struct("id", "h")).alias("r"))
+        .agg(F.count("*").alias("n"), F.min("id").alias("rep"))
         .filter(F.col("n") > limit)
-        .select("c", "c2", F.col("r.id").alias("rep"), F.col("r.h").alias("rep_h"))
+        .select("c", "c2", "rep", *(["n"] if counts else []))
     )
 
 
@@ -113,21 +118,26 @@ def near_duplicates(
         stars.append(c.filter("rep is not null and rep <> id").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
         one = c.filter("rep is null or rep = id").select("h", column)
         keys.append(word_keys(one, df, rows) if column == "w" else vector_keys(one, space))
-    pairs = materialise(sig.hamming_join(keys[0].unionByName(keys[1])), "p4-pairs")
-    return verify(pairs, f, min_cosine, min_jaccard).unionByName(stars[0]).unionByName(stars[1]).distinct()
+    out = stars[0].unionByName(stars[1])
+    for k, test, column, errors in zip(keys, tests(min_cosine, min_jaccard), ("w", "v"), (sig.WORD_ERRORS, sig.VECTOR_ERRORS)):
+        pairs = materialise(sig.hamming_join(k, errors), "p4-pairs")
+        # 32 bits a word are enough to compare two texts, and half as much to move
+        x = F.transform("w", lambda z: F.shiftright(z, 32).cast("int")) if column == "w" else F.col("v")
+        out = out.unionByName(verify(pairs, f.select("id", "h", x.alias("x")), test))
+    return out.distinct()
 
 
-def verify(pairs: DataFrame, f: DataFrame, min_cosine: float, min_jaccard: float) -> DataFrame:
-    """(id_a, id_b) of candidate pairs(a, b) of id hashes that are alike."""
+def verify(pairs: DataFrame, f: DataFrame, test: Column) -> DataFrame:
+    """(id_a, id_b) of candidate pairs(a, b) of id hashes that pass the exact test of their features f(id, h, x)."""
     ids = materialise(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "p4-ids")
     few = ids.count() <= BROADCAST_IDS
     g = f.join(F.broadcast(ids) if few else ids, "h", "left_semi")
     # exactly equal rows of one id give equal pairs, which distinct() at the end takes away
-    one = g.select(F.col("h").alias("a"), F.col("id").alias("x"), F.col("w").alias("w1"), F.col("v").alias("v1"))
-    two = g.select(F.col("h").alias("b"), F.col("id").alias("y"), F.col("w").alias("w2"), F.col("v").alias("v2"))
+    one = g.select(F.col("h").alias("a"), F.col("id").alias("id1"), F.col("x").alias("x1"))
+    two = g.select(F.col("h").alias("b"), F.col("id").alias("id2"), F.col("x").alias("x2"))
     return (
         pairs.join(one, "a")
         .join(two, "b")
-        .filter(alike(min_cosine, min_jaccard) & (F.col("x") != F.col("y")))
-        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+        .filter(test & (F.col("id1") != F.col("id2")))
+        .select(F.least("id1", "id2").alias("id_a"), F.greatest("id1", "id2").alias("id_b"))
     )

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stack, unit
@@ -21,7 +21,7 @@ from .common import stack, unit
 CHUNKS, PER = 6, 5
 SYMBOLS = CHUNKS * PER
 #: Two bits of each of the symbols fill one long; so many of them may differ in a candidate pair.
-SKETCH_ERRORS = 15
+WORD_ERRORS, VECTOR_ERRORS = 13, 12
 #: Buckets of the document frequency sketch; its size bounds what is broadcast.
 DF_BUCKETS = 1 << 18
 #: Axes of a vector symbol.
@@ -65,6 +65,26 @@ def text_symbols(h: np.ndarray, n: np.ndarray, df: np.ndarray, texts: float) ->
     return out
 
 
+def moments(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of all unit vectors of vectors(v array<float>), from partial sums of fixed size."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, c, k = np.zeros(dim), np.zeros((dim, dim)), 0
+        for b in batches:
+            x = unit(stack(b["v"])).astype(np.float64) if len(b) else np.zeros((0, dim))
+            s += x.sum(axis=0)
+            c += x.T @ x
+            k += len(x)
+        yield pd.DataFrame({"i": np.arange(dim * dim + dim + 1), "x": np.concatenate([c.ravel(), s, [k]])})
+
+    got = vectors.select("v").mapInPandas(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    x = np.zeros(dim * dim + dim + 1)
+    x[got["i"].to_numpy(int)] = got["x"]
+    k = max(1.0, x[-1])
+    mean = x[dim * dim : -1] / k
+    return mean, x[: dim * dim].reshape(dim, dim) / k - np.outer(mean, mean)
+
+
 class VectorSpace:
     """Mean and common directions of all unit vectors; fitted from sums, whose size does not grow with the data."""
 
@@ -74,24 +94,9 @@ class VectorSpace:
     @staticmethod
     def fit(vectors: DataFrame, dim: int) -> VectorSpace:
         """vectors(v array<float>), usable. Directions with over three times the median variance are common ones."""
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            s, c, k = np.zeros(dim), np.zeros((dim, dim)), 0
-            for b in batches:
-                x = unit(stack(b["v"])).astype(np.float64) if len(b) else np.zeros((0, dim))
-                s += x.sum(axis=0)
-                c += x.T @ x
-                k += len(x)
-            yield pd.DataFrame({"i": np.arange(dim * dim + dim + 1), "x": np.concatenate([c.ravel(), s, [k]])})
-
-        got = vectors.select("v").mapInPandas(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-        x = np.zeros(dim * dim + dim + 1)
-        x[got["i"].to_numpy(int)] = got["x"]
-        k = max(1.0, x[-1])
-        mean = x[dim * dim : -1] / k
-        var, axes = np.linalg.eigh(x[: dim * dim].reshape(dim, dim) / k - np.outer(mean, mean))
-        keep = var <= 3 * np.median(var)
-        return VectorSpace(mean, axes[:, keep])
+        mean, cov = moments(vectors, dim)
+        var, axes = np.linalg.eigh(cov)
+        return VectorSpace(mean, axes[:, var <= 3 * np.median(var)])
 
     def symbols(self, x: np.ndarray, seed: int = 7) -> np.ndarray:
         """Symbols of unit vectors."""
@@ -123,7 +128,7 @@ def chunk_keys(symbols: np.ndarray, seed: int) -> np.ndarray:
             for i in range(PER):
                 if i != out:
                     k = _mix(k ^ symbols[:, c * PER + i].view(np.uint64)) + _GOLD
-            keys.append(k.view(np.int64))
+            keys.append((k >> np.uint64(20)).view(np.int64))  # 44 bits tell chunks apart, and shuffle smaller
     return np.stack(keys, axis=1)
 
 
@@ -133,15 +138,14 @@ def key_rows(h: np.ndarray, symbols: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame({"key": keys.ravel(), "h": np.repeat(h, each), "sk": np.repeat(sketch(symbols), each)})
 
 
-def hamming_join(keys: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of rows keys(key, h, sk) that share a key and whose sketches are near."""
-    spark: SparkSession = keys.sparkSession  # noqa: F841
+def hamming_join(keys: DataFrame, errors: int) -> DataFrame:
+    """Distinct (a, b), a < b, of rows keys(key, h, sk) that share a key and whose sketches differ in at most `errors` symbols."""
     x = F.expr("a.sk ^ b.sk")
     low = F.lit(0x5555555555555555)
     differ = F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(low))
     return (
         keys.alias("a")
-        .join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & (differ <= SKETCH_ERRORS))
+        .join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.h") < F.col("b.h")) & (differ <= errors))
         .select(F.col("a.h").alias("a"), F.col("b.h").alias("b"))
         .distinct()
     )
