@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import AS_OF, read
-from . import p1_groups, p2_history, p3_neighbours, p4_neardup, p5_survivor, p7_packing, p8_mixing, p9_abuse
+from . import p1_groups, p2_history, p3_neighbours, p4_neardup, p5_survivor, p6_clusters, p7_packing, p8_mixing, p9_abuse
 from .sql import ORACLES  # noqa: F401
 
 
@@ -42,6 +42,15 @@ def p5_current_type(spark: SparkSession, d: str) -> DataFrame:
     return p5_survivor.current_values(read(spark, d, "merge_groups"), read(spark, d, "memories"), "type", AS_OF)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    members, _ = p6_clusters.clusters(read(spark, d, "memories"))
+    return members.select(F.col("id").alias("memory_id"), "group_id")
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    return p6_clusters.clusters(read(spark, d, "memories"))[1]
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_packing.split_documents(p7_packing.pack_documents(read(spark, d, "documents")))
 
@@ -102,6 +111,8 @@ QUERIES = {
         p5_found,
         p5_current_tier,
         p5_current_type,
+        p6_found,
+        p6_summary,
         p7_found,
         p7_containers,
         p7_fill,

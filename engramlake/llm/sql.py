@@ -70,6 +70,12 @@ r AS (
 SELECT group_id, max(CASE WHEN rn = 1 THEN memory_id END) AS survivor_id,
   coalesce(arg_min(memory_id, rn) FILTER (WHERE length(trim(display_name)) > 0), '') AS display_from_id
 FROM r WHERE n >= 2 GROUP BY group_id""",
+    "p6_found": f"""
+WITH {_usable("vector", 96)},
+e AS (SELECT a.id AS x, b.id AS y FROM vector_u a JOIN vector_u b ON list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.65 OR a.id = b.id),
+g AS (SELECT x, count(*) AS n, min(y) AS group_id, list_sort(list(y)) AS l FROM e GROUP BY x),
+c AS (SELECT l FROM g GROUP BY l, n HAVING n >= 20 AND count(*) = n)
+SELECT x AS memory_id, group_id FROM g WHERE l IN (SELECT l FROM c)""",
     "p7_found": f"SELECT doc_id FROM documents WHERE {TOKENS} > 512",
     "p8_found": f"""
 WITH t AS (SELECT lower(trim(source)) AS source, sum({TOKENS}) AS n FROM documents GROUP BY 1),
