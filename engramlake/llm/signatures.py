@@ -25,7 +25,7 @@ WORD_ERRORS, VECTOR_ERRORS = 13, 12
 #: Buckets of the document frequency sketch; its size bounds what is broadcast.
 DF_BUCKETS = 1 << 18
 #: Axes of a vector symbol.
-AXES = 16
+AXES = 24
 
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
