@@ -21,7 +21,7 @@ from .common import stack, unit
 CHUNKS, PER = 6, 5
 SYMBOLS = CHUNKS * PER
 #: Two bits of each of the symbols fill one long; so many of them may differ in a candidate pair.
-WORD_ERRORS, VECTOR_ERRORS = 13, 12
+WORD_ERRORS, VECTOR_ERRORS = 12, 12
 #: Buckets of the document frequency sketch; its size bounds what is broadcast.
 DF_BUCKETS = 1 << 18
 #: Axes of a vector symbol.
