@@ -56,7 +56,7 @@ def _segments(spark: SparkSession, sources: list[str], schedules: dict) -> DataF
     """Per source the pieces of its integrated schedule: from (t0, area a0) with weight w0 and slope."""
     rows = []
     for s in sources:
-        knots = sorted(schedules.get(s, EVEN))
+        knots = sorted((float(t), float(w)) for t, w in schedules.get(s, EVEN))
         area = [0.0]
         for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
             area.append(area[-1] + (t1 - t0) * (w0 + w1) / 2)
