@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Short stop-word lists by ISO 639-3 code.
 STOPWORDS = {
-    "eng": "a about after all also an and any are as at be because been but by can could did do does for from had has have he her his how i if in into is it its just me more my no not of on or our out over she should so some than that the their them then there these they this to up us was we were what when where which who why will with would you your".split(),
-    "fra": "au aux avec ce ces dans de des du elle en est et eux il je la le les leur lui ma mais me mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous".split(),
-    "deu": "aber als am an auch auf aus bei bin bis da das dass dem den der des die du ein eine einem einen einer er es für hat ich ihr im in ist ja mit nach nicht noch nur oder sein sich sie sind so und uns von vor war was wenn wie wir zu zum zur".split(),
-    "spa": "al algo como con de del desde donde el ella en entre es esta este ha hay la las le lo los me mi muy más no nos o para pero por que qué se si sin sobre son su sus también te tu un una y ya yo".split(),
+    "eng": "a about after all an and any are as at be been but by can did do for from had has have he her his how i if in into is it its me my no not of on or our so than that the their them then there they this to was we were what when which who will with you your".split(),
+    "fra": "au aux avec ce ces dans de des du elle en est et il je la le les leur mais ne nous on ou par pas pour que qui sa se son sur tu un une vous".split(),
+    "deu": "aber als am an auch auf aus bei das dass dem den der des die ein eine er es für hat ich im in ist mit nach nicht oder sie sind und von war wie zu zum zur".split(),
+    "spa": "al como con de del el ella en es esta este la las le lo los me mi muy más no o para pero por que se si sin su sus un una y".split(),
 }
 # ISO 639-3 to 639-1.
 ISO1 = {"eng": "en", "fra": "fr", "deu": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "rus": "ru", "jpn": "ja", "zho": "zh", "kor": "ko"}

@@ -48,6 +48,21 @@ def expired(memories: DataFrame, as_of: dt.datetime, p: Params) -> DataFrame:
     return memories.filter((clean(F.col("tier")) == "hippocampus") & (age > p.ephemeral_ttl_days)).select("id")
 
 
+def delete(memories: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memories, links) without the memories of ids(id) and their links; unknown ids do nothing."""
+    gone = ids.select("id").distinct()
+    return memories.join(gone, "id", "left_anti"), graph.drop_incident(links, gone)
+
+
+def update(memories: DataFrame, changes: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """memories with content and vector of changes(id, content, vector), each id once, and updated_at set for those."""
+    c = changes.select("id", F.col("content").alias("c_"), F.col("vector").alias("v_"), F.lit(True).alias("hit_")).dropDuplicates(["id"])
+    hit = F.coalesce("hit_", F.lit(False))
+    m = memories.join(c, "id", "left")
+    new = {"content": F.col("c_"), "vector": F.col("v_"), "updated_at": lit_ts(as_of)}
+    return m.select(*[F.when(hit, new[x]).otherwise(F.col(x)).alias(x) if x in new else F.col(x) for x in memories.columns])
+
+
 def shingles(content: str, k: int = 5):
     """Sorted hashes of the distinct runs of k words; of all words for shorter texts."""
     w = text.words(F.col(content))

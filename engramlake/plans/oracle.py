@@ -239,6 +239,16 @@ ORACLES = {
  n AS (SELECT scope, scope_hash, count(*) AS held FROM h GROUP BY 1, 2)
  SELECT coalesce(s.scope, n.scope) AS scope, coalesce(s.scope_hash, n.scope_hash) AS scope_hash, CAST(coalesce(stated, 0) AS BIGINT) AS stated, coalesce(held, 0) AS held
  FROM s FULL JOIN n ON s.scope = n.scope AND s.scope_hash = n.scope_hash""",
+    "active_shards": """WITH c AS (SELECT DISTINCT ON (scope, scope_hash, shard_index) * FROM shards ORDER BY scope, scope_hash, shard_index, id, created_at),
+ r AS (SELECT *, row_number() OVER (PARTITION BY scope, scope_hash ORDER BY shard_index DESC, id DESC) AS r FROM c WHERE is_active)
+ SELECT scope, scope_hash, shard_index, id, db_path FROM r WHERE r = 1""",
+    "discovered_shards": r"""WITH n AS (SELECT id, regexp_extract(db_path, '([^/]+)$', 1) AS f FROM shards)
+ SELECT DISTINCT id, regexp_extract(f, '^([^_]+)_(.+)_shard_(\d+)\.db$', 1) AS f_scope, regexp_extract(f, '^([^_]+)_(.+)_shard_(\d+)\.db$', 2) AS f_hash,
+  CAST(regexp_extract(f, '^([^_]+)_(.+)_shard_(\d+)\.db$', 3) AS INTEGER) AS f_index FROM n WHERE regexp_matches(f, '^([^_]+)_(.+)_shard_(\d+)\.db$')""",
+    "delete_batch": f"""WITH {MEM}, x AS (SELECT source_id AS id FROM links WHERE id % 50 = 0),
+ l AS (SELECT * FROM links WHERE source_id NOT IN (SELECT id FROM x) AND target_id NOT IN (SELECT id FROM x)),
+ e AS (SELECT source_id AS node FROM l UNION ALL SELECT target_id FROM l WHERE source_id <> target_id), d AS (SELECT node, count(*) AS n FROM e GROUP BY 1)
+ SELECT id, container_tag, coalesce(n, 0) AS n_links FROM mem LEFT JOIN d ON d.node = mem.id WHERE id NOT IN (SELECT id FROM x)""",
     "sync_scope": f"WITH {MEM} SELECT id, {SCOPE} FROM mem",
     "sync_paths": f"""WITH {MEM}, p AS (SELECT id, list_filter(string_split(regexp_replace(project_path, '\\.md$', ''), '/'), lambda x: x <> '') AS t FROM mem WHERE project_path IS NOT NULL)
  SELECT id, array_to_string(t, ',') AS tags, CASE t[1] WHEN 'profile' THEN 'profile' WHEN 'projects' THEN 'project' WHEN 'logs' THEN 'log' WHEN 'notes' THEN 'note'

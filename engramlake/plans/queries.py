@@ -300,6 +300,22 @@ def shard_catalog(spark, d):
     return store.counted(read(spark, d, "shards"), memories(spark, d, "id", "container_tag"))
 
 
+def active_shards(spark, d):
+    return store.active_shards(read(spark, d, "shards"))
+
+
+def discovered_shards(spark, d):
+    return store.discovered(read(spark, d, "shards")).distinct()
+
+
+def delete_batch(spark, d):
+    """What is left of the memories after the stated query set is deleted, with their remaining degree."""
+    l = read(spark, d, "links")
+    m, rest = maintain.delete(memories(spark, d, "id", "container_tag"), l, l.filter("id % 50 = 0").select(F.col("source_id").alias("id")))
+    n = graph.degrees(rest).select(F.col("node").alias("id"), "n_links")
+    return m.join(n, "id", "left").select("id", "container_tag", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def sync_paths(spark, d):
     m = memories(spark, d, "id", "project_path").filter("project_path is not null")
     return m.select("id", F.array_join(sync.path_tags(F.col("project_path")), ",").alias("tags"), sync.path_type(F.col("project_path")).alias("type"))
@@ -379,7 +395,7 @@ hybrid_search_container_post hybrid_search_container_pre sharded_topk graph_sear
 neighbors_strong_semantic degree_audit link_upsert_ignore link_strengthen link_remove_typed link_remove_both bfs_paths
 link_clusters cluster_strengths new_clusters clusters_for_memory retrievability stability_fold prune_memories prune_links
 ttl_expired expire_cascade near_dup_classes merge_leaders merge_rewrite merge_redirect trivial_rewire replay_groups
-synthesis_inputs synthesis_links shard_rotation shard_catalog sync_paths sync_scope front_matter adjacent_similarity
+synthesis_inputs synthesis_links shard_rotation shard_catalog active_shards discovered_shards delete_batch sync_paths sync_scope front_matter adjacent_similarity
 similarity_histogram workspace_top5 session_activity dedup_on_add auto_link_on_add auto_link_candidates""".split()
 
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -84,6 +84,11 @@ def active_shards(shards: DataFrame) -> DataFrame:
     )
 
 
+def shard_by_path(shards: DataFrame, path: str) -> DataFrame:
+    """The first registered shard whose db_path ends with the file name of path."""
+    return catalog(shards).filter(F.col("db_path").endswith(path.rsplit("/", 1)[-1])).orderBy("id").limit(1)
+
+
 def discovered(shards: DataFrame) -> DataFrame:
     """(id, f_scope, f_hash, f_index) read off the file names of the catalog; others than scope_hash_shard_n.db are left out."""
     name = F.regexp_extract("db_path", r"([^/]+)$", 1)

@@ -326,3 +326,21 @@ def test_plans(spark, sf):
     tops = ws.workspace(read(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("memory"), F.col("ts").alias("added_at")))
     assert "WindowGroupLimit" in tops._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(strength)" in maintain.weak_links(l, AS_OF, params.Params())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_delete_and_update(spark):
+    m = memory_rows(spark, [mem("a", "x"), mem("b", "y"), mem("c", "z")]).withColumn("vector", F.array(F.lit(1.0).cast("float"))).withColumn("updated_at", F.col("created_at"))
+    l = links(spark, [(1, "a", "b", "related", 0.5), (2, "b", "c", "related", 0.5), (3, "a", "c", "related", 0.5)])
+    left, rest = maintain.delete(m, l, spark.createDataFrame([("b",), ("b",), ("zz",), (None,)], "id string"))
+    assert {r["id"] for r in left.collect()} == {"a", "c"} and [r["id"] for r in rest.collect()] == [3]
+    ch = spark.createDataFrame([("c", "new", [2.0]), ("zz", "no", [2.0])], "id string, content string, vector array<float>")
+    got = {r["id"]: (r["content"], r["vector"][0], r["updated_at"]) for r in maintain.update(m, ch, AS_OF).collect()}
+    assert got["c"][:2] == ("new", 2.0) and got["c"][2] != got["a"][2] and got["a"][0] == "x" and len(got) == 3
+
+
+def test_shards(spark):
+    rows = [(1, "user", "h", 0, "users/user_h_shard_0.db", 5, False), (1, "user", "h", 0, "users/user_h_shard_0.db", 5, False), (2, "user", "h", 1, None, -3, True), (3, "project", "a_b", 0, "p/odd.db", 2, None)]
+    s = spark.createDataFrame(rows, "id long, scope string, scope_hash string, shard_index int, db_path string, vector_count long, is_active boolean").withColumn("created_at", F.lit(0))
+    assert store.catalog(s).count() == 3 and [r["id"] for r in store.active_shards(s).collect()] == [2]
+    assert {tuple(r) for r in store.discovered(s).collect()} == {(1, "user", "h", 0)}
+    assert store.shard_by_path(s, "/else/user_h_shard_0.db").first()["id"] == 1
