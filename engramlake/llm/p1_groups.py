@@ -4,7 +4,9 @@ Connected components on a two-dimensional grid. Vertices are hashed into g block
 belongs to the cell (block of u, block of v). Each cell runs union-find over its own edges. Row and
 column representatives of a vertex are then exchanged: all representatives that one vertex got in
 different cells are one group, so they become the edges of the next, smaller graph. This repeats
-until no edges are left; the parents are then resolved backwards.
+until no edges are left; the parents are then resolved backwards, and each group is named after its
+smallest vertex. Representatives are chosen in a new hashed order each round, so that a chain whose ids
+rise along it loses as many vertices a round as any other (about a third).
 
 A vertex that holds a third of all edges is spread over the g cells of its row. A cell never holds
 more than about `cell_edges` edges, as g grows with the number of edges.
@@ -43,14 +45,21 @@ def _union_find(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
             parent = parent[parent]
 
 
-def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    codes, names = pd.factorize(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), sort=True)
+def _cell(pdf: pd.DataFrame, turn: int) -> pd.DataFrame:
+    codes, names = pd.factorize(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]))
     names = np.asarray(names, dtype=object)
-    n = len(pdf)
+    order = np.argsort(pd.util.hash_array(names, hash_key=f"{turn:016d}"), kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    names, codes, n = names[order], rank[codes], len(pdf)
     parent = _union_find(codes[:n], codes[n:], len(names))
     return pd.DataFrame({"x": names, "rep": names[parent]})
 
 
+def _cells(turn: int):
+    return lambda pdf: _cell(pdf, turn)
+
+
 def connected_groups(edges: DataFrame, cell_edges: int = 1_000_000, min_grid: int = 3) -> DataFrame:
     """(x, group) for every vertex of edges(u, v): group is the smallest vertex that x reaches.
 
@@ -66,14 +75,18 @@ def connected_groups(edges: DataFrame, cell_edges: int = 1_000_000, min_grid: in
     left = e.count()
     levels: list[tuple[DataFrame, int]] = []
     first = True
+    turn = 0
     while left or first:
         g = 1 if left <= LAST_EDGES and not first else max(min_grid, math.ceil(math.sqrt(left / cell_edges)))
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(g))  # noqa: E731, B023
+        block = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(g))  # noqa: E731, B023
         cells = e.withColumns({"row": block("u"), "col": block("v")})
-        forest = cells.groupBy("row", "col").applyInPandas(_cell, "x string, rep string")
+        forest = cells.groupBy("row", "col").applyInPandas(_cells(turn), "x string, rep string")
         # a vertex has at most 2g - 1 representatives
         level = materialise(
-            forest.groupBy("x").agg(F.min("rep").alias("p"), F.collect_set("rep").alias("reps")), "p1-level"
+            forest.groupBy("x")
+            .agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("p"), F.collect_set("rep").alias("reps"))
+            .select("x", F.col("p.rep").alias("p"), "reps"),
+            "p1-level",
         )
         e = (
             level.filter(F.size("reps") > 1)
@@ -84,16 +97,16 @@ def connected_groups(edges: DataFrame, cell_edges: int = 1_000_000, min_grid: in
         )
         stat = level.agg(F.count("*").alias("n"), F.sum(F.size("reps") - 1).alias("e")).first()
         levels.append((level.select("x", "p"), stat["n"]))
-        left, first = stat["e"] or 0, False
+        left, first, turn = stat["e"] or 0, False, turn + 1
     group, n = levels.pop()
     group = group.withColumnRenamed("p", "group")
     while levels:
         level, n = levels.pop()
         up = group.select(F.col("x").alias("p"), "group")
         group = skew_join(level, up, "p", "left", n).select("x", F.coalesce("group", "p").alias("group"))
-        if levels:
-            group = materialise(group, "p1-group")
-    return group
+        group = materialise(group, "p1-group")
+    least = group.groupBy("group").agg(F.min("x").alias("least"))
+    return skew_join(group, least, "group", "inner", n).select("x", F.col("least").alias("group"))
 
 
 def semantic_edges(links: DataFrame, memories: DataFrame, min_strength: float = 0.5) -> DataFrame:
