@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialise
 from ..tables import clean
 from .common import token_count
 
@@ -29,9 +30,16 @@ from .common import token_count
 EVEN = ((0.0, 1.0), (1.0, 1.0))
 
 
-def plan(documents: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
-    """(source, target_share, repeats, source_tokens, all_tokens, demand, supply): one row per target source."""
-    size = documents.groupBy(clean(F.col("source")).alias("source")).agg(F.sum(token_count(F.col("text"))).alias("source_tokens"))
+def sizes(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens) of documents(doc_id, text, source), written once: texts are read and counted one time."""
+    return materialise(
+        documents.select("doc_id", clean(F.col("source")).alias("source"), token_count(F.col("text")).alias("n_tokens")), "p8-sizes"
+    )
+
+
+def plan(docs: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
+    """(source, target_share, repeats, source_tokens, all_tokens, demand, supply) of sizes docs: one row per target source."""
+    size = docs.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     all_tokens = size.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("all_tokens"))
     want = (
         targets.filter("source is not null")
@@ -82,15 +90,21 @@ def mix(
     schedules: source -> ((t, weight), ...) with t from 0 to 1. Targets are a list of sources, not data:
     their number is checked to be at most 10,000 before it is used for schedules and broadcast.
     """
-    spark = documents.sparkSession
-    p = plan(documents, targets, budget).filter("demand > 0 and supply > 0")
+    return mix_sizes(sizes(documents), targets, budget, schedules, buckets, seed)
+
+
+def mix_sizes(
+    docs: DataFrame, targets: DataFrame, budget: int | None, schedules: dict | None, buckets: int = 256, seed: int = 0
+) -> DataFrame:
+    """mix() over sizes."""
+    spark = docs.sparkSession
+    p = plan(docs, targets, budget).filter("demand > 0 and supply > 0")
     names = [r["source"] for r in targets.select(clean(F.col("source")).alias("source")).distinct().limit(10_001).collect()]
     if len(names) > 10_000:
         raise ValueError("more than 10,000 target sources")
     p = p.withColumn("laps", F.least(F.col("repeats"), F.ceil(F.col("demand") / F.col("source_tokens"))))
     d = (
-        documents.select("doc_id", clean(F.col("source")).alias("source"), token_count(F.col("text")).alias("n_tokens"))
-        .filter("n_tokens > 0")
+        docs.filter("n_tokens > 0")
         .join(F.broadcast(p.select("source", "source_tokens", "demand", "supply", "laps")), "source")
         .withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
         .withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -121,8 +135,9 @@ def mix(
 
 def shares(documents: DataFrame, targets: DataFrame, budget: int | None = None, schedules: dict | None = None) -> DataFrame:
     """(source, target_share, actual_share, demand, mixed_tokens, docs, most_repeats, short), from the mix itself."""
+    docs = sizes(documents)
     got = (
-        mix(documents, targets, budget, schedules)
+        mix_sizes(docs, targets, budget, schedules)
         .groupBy("source")
         .agg(
             F.sum("n_tokens").alias("mixed_tokens"),
@@ -130,7 +145,7 @@ def shares(documents: DataFrame, targets: DataFrame, budget: int | None = None,
             (F.max("repeat_no") + 1).alias("most_repeats"),
         )
     )
-    out = plan(documents, targets, budget).join(got, "source", "left").fillna(0, ["mixed_tokens", "docs", "most_repeats"])
+    out = plan(docs, targets, budget).join(got, "source", "left").fillna(0, ["mixed_tokens", "docs", "most_repeats"])
     total = out.agg(F.sum("mixed_tokens").alias("mixed_all"))
     return out.crossJoin(F.broadcast(total)).select(  # one row
         "source",
