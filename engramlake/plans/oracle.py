@@ -181,7 +181,7 @@ ORACLES = {
     "link_remove_both": """SELECT id, source_id, target_id, link_type FROM links l WHERE NOT EXISTS (SELECT 1 FROM links k WHERE k.id % 50 = 0
  AND (k.source_id = l.source_id AND k.target_id = l.target_id OR k.source_id = l.target_id AND k.target_id = l.source_id))""",
     "bfs_paths": f"""WITH RECURSIVE {U}, e AS (SELECT DISTINCT node, neighbor FROM u WHERE link_type = 'semantic'),
- s AS (SELECT DISTINCT source_id AS start FROM links WHERE id % 1000 = 0),
+ s AS (SELECT DISTINCT source_id AS start FROM links WHERE id % 50 = 0),
  w(start, node, depth, path) AS (SELECT start, start, 0, start FROM s
    UNION ALL SELECT w.start, e.neighbor, w.depth + 1, w.path || '>' || e.neighbor FROM w JOIN e ON e.node = w.node WHERE w.depth < 3 AND NOT contains(w.path, e.neighbor))
  SELECT start, node, CAST(min(depth) AS INTEGER) AS depth, arg_min(path, (depth, path)) AS path FROM w WHERE depth > 0 GROUP BY start, node""",
@@ -231,7 +231,7 @@ ORACLES = {
  n AS (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) >= 2 ORDER BY cluster_id LIMIT 10),
  r AS (SELECT m.*, row_number() OVER (PARTITION BY cluster_id ORDER BY member) AS r FROM m),
  i AS (SELECT cluster_id, 'synth_' || sha256(string_agg(member, ',' ORDER BY r)) AS source_id FROM r WHERE r <= 50 AND cluster_id IN (SELECT cluster_id FROM n) GROUP BY 1)
- SELECT DISTINCT source_id, s.member AS target_id, 'reflection_of' AS link_type, 1.0 AS strength FROM i JOIN s USING (cluster_id)""",
+ SELECT DISTINCT source_id, s.member AS target_id, 'reflection_of' AS link_type, CAST(1 AS DOUBLE) AS strength FROM i JOIN s USING (cluster_id)""",
     "shard_rotation": f"""WITH {MEM}, r AS (SELECT id, container_tag, (row_number() OVER (PARTITION BY container_tag ORDER BY created_at NULLS LAST, id) - 1) // 100 AS shard_index FROM mem)
  SELECT container_tag, shard_index, count(*) AS n, min(id) AS first_id FROM r GROUP BY 1, 2""",
     "shard_catalog": f"""WITH {MEM}, c AS (SELECT DISTINCT ON (scope, scope_hash, shard_index) * FROM shards ORDER BY scope, scope_hash, shard_index, id, created_at),
