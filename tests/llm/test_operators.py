@@ -189,6 +189,17 @@ def test_empty_history(spark):
     assert "i0001" in got and "i0000" not in got
 
 
+def test_repeats_of_barely_alike_vectors(spark):
+    rng = np.random.default_rng(6)
+    base = vectors(300, seed=8)
+    near = base + 0.0155 * rng.standard_normal(base.shape)
+    mem = [(f"m{i:03d}", None, floats(v), "") for i, v in enumerate(base)]
+    new = [(i, 0, f"i{i:03d}", None, floats(v), "") for i, v in enumerate(near)]
+    truth = {r[2] for i, r in enumerate(new) if cos(r[4], mem[i][2]) >= 0.985}
+    got = {r[0] for r in p2_history.repeats(spark.createDataFrame(mem, RECORD), spark.createDataFrame(new, INCOMING)).collect()}
+    assert got <= truth and len(got) >= 0.99 * len(truth) and len(truth) > 150
+
+
 # ---- p3
 
 
