@@ -200,6 +200,31 @@ def test_repeats_of_barely_alike_vectors(spark):
     assert got <= truth and len(got) >= 0.99 * len(truth) and len(truth) > 150
 
 
+def test_repeats_of_large_families(spark):
+    rng = np.random.default_rng(11)
+    mem, new = [], []
+    eight = [f"e{j}" for j in range(8)]
+    for i, v in enumerate(vectors(50, seed=12)):  # one text of eight words with other vectors each
+        mem.append((f"e{i:02d}", " ".join(eight), floats(v), ""))
+    new.append((0, 0, "copy", " ".join(eight), None, "s"))
+    for f in range(20):  # families of 50 shuffled near-copies, and one more of each
+        w = [f"f{f}w{j}" for j in range(24)]
+        for i in range(51):
+            x = list(rng.permutation(w[: 21 + i % 3])) + [f"f{f}x{i}y{j}" for j in range(2)]
+            text = " ".join(rng.permutation(x))
+            if i < 50:
+                mem.append((f"f{f:02d}m{i:02d}", text, None, ""))
+            else:
+                new.append((f + 1, 0, f"f{f:02d}", text, None, "s"))
+    base = vectors(100, seed=13)  # families of 12 vectors
+    near = base[:, None] + 0.008 * rng.standard_normal((100, 13, 96))
+    mem += [(f"v{i:02d}m{j:02d}", None, floats(near[i, j]), "") for i in range(100) for j in range(12)]
+    new += [(100 + i, 0, f"v{i:02d}", None, floats(near[i, 12]), "s") for i in range(100)]
+    truth = {r[2] for r in new if any(is_alike((None, *r[3:5]), o) for o in mem)}
+    got = {r[0] for r in p2_history.repeats(spark.createDataFrame(mem, RECORD), spark.createDataFrame(new, INCOMING)).collect()}
+    assert got <= truth and len(truth) == 121 and {x for x in truth - got if x[0] != "v"} == set() and len(got) >= 120
+
+
 # ---- p3
 
 
