@@ -77,6 +77,12 @@ def near_duplicates(memories: DataFrame, threshold: float = 0.8, k: int = 5, min
     elements share one. Texts with equal shingles are one class; each other member is paired with its
     smallest id only, so copies do not multiply.
     """
+    copies, near = copies_and_near(memories, threshold, k, min_words)
+    return near.unionByName(copies)
+
+
+def copies_and_near(memories: DataFrame, threshold: float = 0.8, k: int = 5, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The pairs of near_duplicates in two parts: smallest id of a class and each other member; smallest ids of alike classes."""
     d = (
         memories.filter(F.size(text.words(F.col("content"))) >= min_words)
         .select("id", F.coalesce("container_tag", F.lit("__global__")).alias("container_tag"), shingles("content", k).alias("s"))
@@ -108,16 +114,27 @@ def near_duplicates(memories: DataFrame, threshold: float = 0.8, k: int = 5, min
         .filter(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common) - 1e-9)
         .select("container_tag", "a", "b")
     )
-    return near.unionByName(star)
+    return star, near
 
 
-def merge_leaders(memories: DataFrame, pairs: DataFrame) -> DataFrame:
+def merge_leaders(memories: DataFrame, pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """(leader, member): in order of creation each memory that no earlier leader is near to leads those near it.
 
     The order-dependent choice is made in rounds over the pair graph: who has no undecided earlier
     neighbour leads; who is next to a leader is absorbed by the earliest one.
+
+    copies(a, b): b is a copy of a, and pairs has the likeness of all copies as that of a only. The
+    earliest copy takes part in the rounds for all, since it is the only one that can lead; the others
+    go where it goes.
     """
     at = memories.select("id", F.struct(F.coalesce(F.unix_micros("created_at"), F.lit(2**62).cast("long")).alias("t"), F.col("id").alias("id")).alias("o"))
+    pairs = pairs.select("a", "b")
+    if copies is not None:
+        c = copies.select(F.col("a").alias("rep"), F.col("b").alias("id")).union(copies.select("a", "a")).distinct()
+        first = c.join(at, "id").groupBy("rep").agg(F.min("o").alias("o")).select("rep", F.col("o.id").alias("first"))
+        first = materialise(first, "merge-first")
+        for end in ("a", "b"):
+            pairs = pairs.join(first.withColumnRenamed("rep", end), end, "left").withColumn(end, F.coalesce("first", end)).drop("first")
     e = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     e = e.join(at.withColumnsRenamed({"id": "a", "o": "oa"}), "a").join(at.withColumnsRenamed({"id": "b", "o": "ob"}), "b")
     # b is earlier than a
@@ -137,8 +154,12 @@ def merge_leaders(memories: DataFrame, pairs: DataFrame) -> DataFrame:
         gone = lead.unionByName(took.select(F.col("member").alias("id")))
         left = materialise(left.join(gone, "id", "left_anti"), "merge-left")
     if absorbed is None:
-        return pairs.select(F.col("a").alias("leader"), F.col("b").alias("member")).limit(0)
-    return absorbed
+        absorbed = pairs.select(F.col("a").alias("leader"), F.col("b").alias("member")).limit(0)
+    if copies is None:
+        return absorbed
+    rest = c.join(at.select("id"), "id").join(first, "rep").filter("id <> first").select("first", "id")
+    to = absorbed.withColumnsRenamed({"leader": "to", "member": "first"})
+    return absorbed.unionByName(rest.join(to, "first", "left").select(F.coalesce("to", "first").alias("leader"), F.col("id").alias("member")))
 
 
 def merged(memories: DataFrame, leaders: DataFrame, p: Params) -> DataFrame:

@@ -256,7 +256,8 @@ def near_dup_classes(spark, d):
 
 
 def _leaders(spark, d) -> DataFrame:
-    return materialise(maintain.merge_leaders(memories(spark, d, "id", "created_at"), _pairs(spark, d)), "leaders")
+    copies, near = (materialise(x, "near") for x in maintain.copies_and_near(memories(spark, d, "id", "content", "container_tag")))
+    return materialise(maintain.merge_leaders(memories(spark, d, "id", "created_at"), near, copies), "leaders")
 
 
 def merge_leaders(spark, d):

@@ -213,6 +213,31 @@ def test_near_duplicates_equal_brute_force_and_leaders(spark):
     assert {(r["leader"], r["member"]) for r in maintain.merge_leaders(m, pairs).collect()} == want and want
 
 
+def test_leaders_of_copies_equal_a_sequential_pass(spark, monkeypatch):
+    from engramlake.plans import queries
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(12):
+        w = [f"t{i}w{x}" for x in range(40)]
+        texts = [w, w[:38] + ["new"], [*w[:36], "other"]]
+        rows += [(f"m{i:02d}{j}", texts[rng.integers(0, 3)]) for j in range(rng.integers(1, 9))]
+    rows += [("a", ["same"] * 9), ("b", ["same"] * 9), ("c", ["same"] * 9)]
+    age = {i: int(a) for (i, _), a in zip(rows, rng.integers(5, 30, len(rows)))} | {"a": 7, "b": 9, "c": 8}
+    m = memory_rows(spark, [mem(i, " ".join(w), age=age[i]) for i, w in rows])
+    sh = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in rows}
+    want, leading = set(), []
+    for x in sorted(sh, key=lambda i: (-age[i], i)):  # oldest first, over all pairs
+        near = [y for y in leading if len(sh[x] & sh[y]) >= 0.8 * len(sh[x] | sh[y])]
+        if near:
+            want.add((near[0], x))
+        else:
+            leading.append(x)
+    monkeypatch.setattr(queries, "memories", lambda spark, d, *cols: m.select(*cols))
+    got = [(r["leader"], r["member"]) for r in queries.merge_leaders(spark, "").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {("b", "a"), ("b", "c")} <= want
+
+
 def test_prune_expire_and_rewire(spark):
     p = params.Params(prune_retrievability_floor=0.5)
     m = memory_rows(spark, [mem("a", "x" * 20, age=900), mem("b", "x" * 20, age=900), mem("c", "ok", age=900, tier=" Hippocampus"), mem("d", "x" * 20, age=3), mem("e", "x" * 20, age=900, kind="log")])
