@@ -215,10 +215,10 @@ def replay_groups(memories: DataFrame, links: DataFrame, min_strength: float = 0
     return c.join(big, "group", "left_semi").select("group", "node")
 
 
-def synthesis_inputs(memories: DataFrame, stored: DataFrame, limit: int, per_cluster: int = 50) -> DataFrame:
+def synthesis_inputs(memories: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
     """(cluster_id, n_members, new_id, prompt) of the first `limit` stored clusters with two or more members that resolve.
 
-    The prompt numbers the contents of the per_cluster smallest member ids, the most that a prompt takes.
+    The prompt numbers the contents of all these members by id, and new_id is a hash of all of their ids.
     """
     from pyspark.sql.window import Window
 
@@ -226,7 +226,7 @@ def synthesis_inputs(memories: DataFrame, stored: DataFrame, limit: int, per_clu
     n = m.groupBy("cluster_id").agg(F.count("*").alias("n_members")).filter("n_members >= 2").orderBy("cluster_id").limit(limit)
     w = Window.partitionBy("cluster_id").orderBy("member")
     return (
-        m.join(n, "cluster_id").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_cluster)
+        m.join(n, "cluster_id").withColumn("r", F.row_number().over(w))
         .groupBy("cluster_id", "n_members").agg(F.array_sort(F.collect_list(F.struct("r", "content", "member"))).alias("c"))
         .select(
             "cluster_id", "n_members",

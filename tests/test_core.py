@@ -238,6 +238,15 @@ def test_leaders_of_copies_equal_a_sequential_pass(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and {("b", "a"), ("b", "c")} <= want
 
 
+def test_synthesis_takes_all_members(spark):
+    ids = [f"s{i:02d}" for i in range(60)]
+    m = memory_rows(spark, [mem(i, f"text of {i}") for i in ids])
+    stored = spark.createDataFrame([(c, i) for c, n in ((1, 60), (2, 55), (3, 1)) for i in ids[:n]], "cluster_id long, member string")
+    got = {r["cluster_id"]: r for r in maintain.synthesis_inputs(m, stored, 10).collect()}
+    assert {c: r["n_members"] for c, r in got.items()} == {1: 60, 2: 55} and got[1]["new_id"] != got[2]["new_id"]
+    assert got[1]["prompt"] == "\n\n".join(f"[{k + 1}] text of {i}" for k, i in enumerate(ids))
+
+
 def test_prune_expire_and_rewire(spark):
     p = params.Params(prune_retrievability_floor=0.5)
     m = memory_rows(spark, [mem("a", "x" * 20, age=900), mem("b", "x" * 20, age=900), mem("c", "ok", age=900, tier=" Hippocampus"), mem("d", "x" * 20, age=3), mem("e", "x" * 20, age=900, kind="log")])
