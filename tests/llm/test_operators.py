@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from engramlake.llm import (
@@ -399,9 +400,18 @@ def test_mix(spark):
 def test_words_are_normalised():
     for a, b in (("Id-iot", "idiot"), ("basttttard", "bastard"), ("m0r0n", "moron"), ("sc​um".replace("​", ""), "scum"), ("crétin", "cretin"), ("Sсhwасh", "schwach")):
         assert p9_abuse.normal_words(a.lower()) == p9_abuse.normal_words(b)
-    h1, _ = p9_abuse.hashed_words(["you h o r n y one"], p9_abuse._Hashes())
-    h2, _ = p9_abuse.hashed_words(["you horny one"], p9_abuse._Hashes())
-    assert list(h1) == list(h2)
+    texts = ["you h o r n y one", "", None, "a b", "x y", "an i\u200bdi\u200bot, n o w!"]
+    h1, n1 = p9_abuse.hashed_words(pa.array(texts).slice(0), p9_abuse._Hashes())
+    h2, n2 = p9_abuse.hashed_words(pa.array(["off", "you horny one", "", None, "a b", "x y", "an idiot now"]).slice(1), p9_abuse._Hashes())
+    assert list(h1) == list(h2) and list(n1) == list(n2) == [3, 0, 0, 2, 2, 3]
+    assert [len(x) for x in p9_abuse.hashed_words(pa.array([None, ""], pa.string()), p9_abuse._Hashes())] == [0, 2]
+
+
+def test_cut_of_best_f1():
+    y = np.array([1, 1, 1, 0, 1, 0, 0, 0])
+    s = np.array([9, 8, 7, 6, 5, 2, 1, 0.0])
+    assert p9_abuse.best_cut(s, y) == 3.5 and p9_abuse.best_cut(s, 0 * y) == 0.0 and p9_abuse.best_cut(s[:0], y[:0]) == 0.0
+    assert p9_abuse.best_cut(np.zeros(8), y) == 0.0
 
 
 def test_held_out_accuracy(spark):
