@@ -1,13 +1,16 @@
 """Grouping records into similarity clusters by density, over spatially partitioned reduced vectors.
 
-Unit vectors are reduced to their leading principal directions (from sums over all rows). Pivots, the
-k-means centres of a bounded sample of the reduced vectors, cut space into cells of about CELL rows; a
-vector belongs to the cells of its `overlap` nearest pivots, so neighbouring cells overlap in a margin.
-Each cell is clustered on its own: vectors with at least `min_pts` vectors within the angle (themselves
-included) are core points; core points within it of each other, and what is near them, are one local
-cluster. A core point that lies in several cells joins their local clusters: the clusters are the
-connected groups of that small graph (p1). A cell of more than `block` rows is clustered in blocks that
-share its `anchors` rows nearest to the pivot, which join the blocks in the same way.
+Unit vectors are reduced to their leading principal directions (from sums over all rows). Pivots, whose
+number grows with the rows (see cells.py), cut space into cells of about CELL rows; a vector belongs to
+the cells of its `overlap` nearest pivots, so neighbouring cells overlap in a margin. Each cell is
+clustered on its own: vectors with at least `min_pts` vectors within the angle (themselves included) are
+core points; core points within it of each other, and what is near them, are one local cluster. A core
+point that lies in several local clusters joins them: the clusters are the connected groups of that
+small graph (p1).
+
+A cell that is expected to hold more than BLOCK rows is dealt out to parts, and every two parts meet in a
+task of their own. Core points are counted over all of these tasks first, and any two rows of the cell
+are in one of them, so what comes out is what one task over the whole cell would give.
 
 Clusters come out with their size and medoids: among unit vectors the member with the largest sum of
 cosines is the one nearest to the mean, and the mean cosine of all pairs follows from the length of the
@@ -32,44 +35,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
+from .cells import Cells
 from .common import cosine, skew_join, stack, unit, usable
 from .p1_groups import connected_groups
 from .p4_neardup import copy_classes
 from .signatures import moments
 
-SAMPLE, CELL, REDUCED = 20_000, 1_500, 32
+CELL, BLOCK, REDUCED = 1_500, 6_000, 32
 #: Groups up to this number are broadcast; beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 LOCAL = "id string, weight long, cluster string, core boolean, home boolean, v array<float>"
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
-    c = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
-    for _ in range(rounds):
-        near = nearest(x, c, 1)[:, 0]
-        n = np.bincount(near, minlength=len(c))
-        s = np.zeros_like(c)
-        np.add.at(s, near, x)
-        c[n > 0] = s[n > 0] / n[n > 0, None]
-    return c
-
-
-def nearest(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
-    """Indexes of the k nearest of c, nearest first."""
-    d = (c * c).sum(axis=1) - 2 * (x @ c.T)
-    k = min(k, len(c))
-    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(near, np.take_along_axis(d, near, axis=1).argsort(axis=1), axis=1)
-
-
-def density(x: np.ndarray, weight: np.ndarray, t: float, min_pts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(local cluster or -1, core) of unit vectors."""
+def density(x: np.ndarray, weight: np.ndarray, t: float, min_pts: int, core: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(local cluster or -1, core) of unit vectors; core is counted here unless it is given."""
     n = len(x)
     near = np.empty((n, n), bool)
     for s in range(0, n, 1024):
         near[s : s + 1024] = x[s : s + 1024] @ x.T >= t
     np.fill_diagonal(near, True)
-    core = near @ weight >= min_pts
+    if core is None:
+        core = near @ weight >= min_pts
     label = np.full(n, -1)
     k = 0
     for seed in np.flatnonzero(core):
@@ -85,67 +71,86 @@ def density(x: np.ndarray, weight: np.ndarray, t: float, min_pts: int) -> tuple[
     return label, core
 
 
-def _cell(pdf: pd.DataFrame, t: float, min_pts: int, block: int, anchors: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["far", "id"]).reset_index(drop=True)
-    x, weight = stack(pdf["v"]), pdf["weight"].to_numpy(float)
-    cell = int(pdf["cell"].iloc[0])
-    out = []
-    tie = np.arange(min(anchors, len(pdf)))
-    rest = np.arange(len(tie), len(pdf))
-    cuts = max(1, -(-len(pdf) // block))
-    for b in range(cuts):
-        rows = np.concatenate([tie, rest[b::cuts]])
-        label, core = density(x[rows], weight[rows], t, min_pts)
-        in_ = label >= 0
-        r = rows[in_]
-        first = (r >= len(tie)) | (b == 0)  # the vector of an anchor goes on once
-        out.append(
-            pd.DataFrame(
-                {
-                    "id": pdf["id"].to_numpy()[r],
-                    "weight": pdf["weight"].to_numpy()[r],
-                    "cluster": [f"{cell}-{b}-{k}" for k in label[in_]],
-                    "core": core[in_],
-                    "home": pdf["home"].to_numpy(bool)[r] & first,
-                    "v": [v if h else None for v, h in zip(x[r], pdf["home"].to_numpy(bool)[r] & first)],
-                }
-            )
-        )
-    return pd.concat(out)
-
-
-def local_clusters(
-    points: DataFrame, rows: int, dim: int, t: float, min_pts: int, overlap: int, block: int = 6000, anchors: int = 64
-) -> DataFrame:
-    """LOCAL rows of points(id, weight, v): the clustered points of each cell; v only in the point's first cell."""
+def _cell(key: tuple, pdf: pd.DataFrame, t: float, min_pts: int) -> pd.DataFrame:
+    """LOCAL rows of one cell, or of two parts of a cell whose core points are known."""
+    core = pdf["core"].to_numpy(bool) if "core" in pdf else None
+    label, core = density(stack(pdf["v"]), pdf["weight"].to_numpy(float), t, min_pts, core)
+    keep = label >= 0
+    name = "-".join(str(k) for k in key)
+    out = pdf[["id", "weight", "home", "v"]][keep].copy()
+    out["cluster"] = [f"{name}-{k}" for k in label[keep]]
+    out["core"] = core[keep]
+    out["v"] = out["v"].where(out["home"], None)
+    return out[["id", "weight", "cluster", "core", "home", "v"]]
+
+
+def _count(key: tuple, pdf: pd.DataFrame, t: float) -> pd.DataFrame:
+    """Weight within the angle of each row of two parts a and b of a cell: rows of a in b, and the reverse; of a part in itself."""
+    x, weight, part = stack(pdf["v"]), pdf["weight"].to_numpy(float), pdf["part"].to_numpy()
+    n = np.zeros(len(x))
+    for one, other in {(key[1], key[2]), (key[2], key[1])}:
+        mine, theirs = np.flatnonzero(part == one), np.flatnonzero(part == other)
+        for s in range(0, len(mine), 1024):
+            r = mine[s : s + 1024]
+            near = x[r] @ x[theirs].T >= t
+            if one == other:
+                near[np.arange(len(r)), s + np.arange(len(r))] = True
+            n[r] += near @ weight[theirs]
+    return pd.DataFrame({"cell": key[0], "id": pdf["id"], "n": n})
+
+
+def local_clusters(points: DataFrame, rows: int, dim: int, t: float, min_pts: int, overlap: int) -> DataFrame:
+    """LOCAL rows of points(id, weight, v): the clustered points of each cell; v only once for a point."""
     mean, cov = moments(points, dim)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :REDUCED].astype(np.float32)
     mean = mean.astype(np.float32)
-    share = min(1.0, SAMPLE / max(1, rows))
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    sample = points.filter(chosen).select("v").limit(2 * SAMPLE).toPandas()
-    y = (unit(stack(sample["v"])) - mean) @ axes if len(sample) else np.zeros((1, axes.shape[1]), np.float32)
-    pivots = kmeans(y, int(min(max(1, rows // CELL), max(1, len(y) // 10))))
+    cells = Cells.fit(points, rows, CELL, dim, lambda x: (x - mean) @ axes)
+    parts = Cells.parts(cells, BLOCK / overlap)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
+        for whole in batches:
+            if not len(whole):
                 continue
-            x = unit(stack(b["v"]))
-            y = (x - mean) @ axes
-            near = nearest(y, pivots, overlap)
-            vectors = list(x)
+            x = unit(stack(whole["v"]))
+            near = cells.nearest((x - mean) @ axes, overlap)
+            vectors = np.empty(len(x), object)
+            vectors[:] = list(x)
             for j in range(near.shape[1]):
-                far = ((y - pivots[near[:, j]]) ** 2).sum(axis=1)
-                yield pd.DataFrame(
-                    {"cell": near[:, j].astype(np.int32), "far": far, "id": b["id"], "weight": b["weight"], "home": j == 0, "v": vectors}
-                )
-
-    return (
-        points.mapInPandas(assign, "cell int, far float, id string, weight long, home boolean, v array<float>")
-        .groupBy("cell")
-        .applyInPandas(lambda pdf: _cell(pdf, t, min_pts, block, anchors), LOCAL)
-    )
+                cell, n = near[:, j], parts[near[:, j]]
+                own = (pd.util.hash_array(whole["id"].to_numpy(str).astype(object)) % n.astype(np.uint64)).astype(np.int64)
+                for other in range(n.max()):  # more than one turn for large cells only
+                    r = np.flatnonzero(other < n)
+                    yield pd.DataFrame(
+                        {
+                            "cell": cell[r],
+                            "a": np.minimum(own[r], other),
+                            "b": np.maximum(own[r], other),
+                            "part": own[r],
+                            "n": n[r],
+                            "id": whole["id"].to_numpy()[r],
+                            "weight": whole["weight"].to_numpy()[r],
+                            # the vector goes on from one task only
+                            "home": (j == 0) & (other == np.where(n[r] > 1, (own[r] + 1) % n[r], 0)),
+                            "v": vectors[r],
+                        }
+                    )
+
+    def cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _cell(key, pdf, t, min_pts)
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _count(key, pdf, t)
+
+    all_ = points.mapInPandas(assign, "cell int, a int, b int, part int, n int, id string, weight long, home boolean, v array<float>")
+    kept = ["cell", "a", "b", "id", "weight", "home", "v"]
+    if parts.max() == 1:
+        return all_.select(kept).groupBy("cell", "a", "b").applyInPandas(cell, LOCAL)
+    all_ = materialise(all_, "p6-cells")
+    large = all_.filter("n > 1")
+    core = large.groupBy("cell", "a", "b").applyInPandas(count, "cell int, id string, n double").groupBy("cell", "id").agg((F.sum("n") >= min_pts).alias("core"))
+    met = large.filter("a < b").select(kept).join(materialise(core, "p6-core"), ["cell", "id"])
+    small = all_.filter("n = 1").select(kept).groupBy("cell", "a", "b").applyInPandas(cell, LOCAL)
+    return small.unionByName(met.groupBy("cell", "a", "b").applyInPandas(cell, LOCAL))
 
 
 def _small(df: DataFrame, count: int) -> DataFrame:

@@ -338,14 +338,36 @@ def test_clusters(spark):
     assert p6_clusters.clusters(spark.createDataFrame([], RECORD))[0].count() == 0
 
 
-def test_large_cells_are_cut_into_blocks(spark):
+@pytest.mark.parametrize("block", [6000, 700])
+def test_small_clusters_in_a_large_cell_stay_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(p6_clusters, "CELL", 100_000)  # all rows are one cell
+    monkeypatch.setattr(p6_clusters, "BLOCK", 2 * block)
     rng = np.random.default_rng(1)
-    c = vectors(1)[0]
-    rows = [(f"c{i:03d}", "", floats(c + 0.03 * rng.standard_normal(96)), "") for i in range(300)]
+    rows = [(f"n{i:04d}", "", floats(v), "") for i, v in enumerate(vectors(3000, seed=31))]
+    for k, c in enumerate(vectors(6, seed=32)):
+        rows += [(f"c{k}_{i:02d}", "", floats(c + 0.045 * rng.standard_normal(96)), "") for i in range(24)]
+    members, _ = p6_clusters.clusters(spark.createDataFrame(rows, RECORD))
+    assert {tuple(r) for r in members.collect()} == {(f"c{k}_{i:02d}", f"c{k}_00") for k in range(6) for i in range(24)}
     points = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "id string, weight long, v array<float>")
-    local = p6_clusters.local_clusters(points, 300, 96, 0.65, 4, 2, block=100, anchors=8).collect()
-    assert {r["id"] for r in local} == {r[0] for r in rows} and len({r["cluster"] for r in local}) > 1
-    assert sum(r["home"] for r in local) == 300
+    local = p6_clusters.local_clusters(points, len(rows), 96, 0.65, 4, 2).collect()
+    assert sum(r["home"] for r in local) == len({r["id"] for r in local}) and all((r["v"] is not None) == r["home"] for r in local)
+    if block == 700:
+        assert len({r["cluster"] for r in local}) > 6
+
+
+def test_pivots_grow_with_the_rows(spark, monkeypatch):
+    from engramlake.llm import cells
+
+    monkeypatch.setattr(cells, "FIRST", 8)
+    x = vectors(4000, 16, seed=3)
+    x[:1500] = x[0] + 0.05 * x[:1500]  # one dense spot
+    df = spark.createDataFrame([(f"i{i:04d}", floats(v)) for i, v in enumerate(x)], "id string, v array<float>")
+    c = cells.Cells.fit(df, 4000, 50, 16)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    home = c.nearest(u, 1)[:, 0]
+    assert len(c.first) == 8 and len(c.pivots) > 60 and np.bincount(home).max() < 500 and abs(c.expected.sum() - 4000) < 40
+    exact = cells.nearest(u, c.pivots, 2)
+    assert (c.nearest(u, 2, wide=8) == exact).mean() > 0.99 and (c.nearest(u, 2)[:, 0] == exact[:, 0]).mean() > 0.8
 
 
 # ---- p7
