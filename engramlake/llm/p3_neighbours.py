@@ -1,6 +1,6 @@
 """Most similar vectors for every vector, with randomly rotated one-bit codes.
 
-Vectors are assigned to the nearest of some coarse centres (k-means on a bounded sample). What is left
+Vectors are assigned to the nearest of coarse centres, whose number grows with the rows (see cells.py). What is left
 after subtracting the centre is scaled to length one, rotated at random and cut to one bit per axis;
 with the code go its length and the inner product of the code with what it stands for. A query is sent
 to its `probes` nearest cells with its rotated residual in eight bits per axis. There the inner product
@@ -11,7 +11,9 @@ the k-th best lower bound of the query (and the least cosine asked for) are rera
 Every vector is stored once and asks once, so a pair can be found from both sides. Exactly equal
 vectors are one entry of the index, whose k + 1 smallest ids speak for all of them: ties go to the
 smaller id, so no others can be among the k best of anything. A group of copies that holds a third of
-all rows thus costs no more than its rows. Cells that are larger than `block` are scanned in blocks.
+all rows thus costs no more than its rows. The codes of a cell that is expected to hold more than PART of them
+are divided into parts, and its queries go to each: a part prunes by its own k-th bound, which keeps more
+candidates and loses none.
 
 Edge cases: rows of one id count once; unusable vectors are left out; an empty table gives no rows;
 other columns are not read.
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
+from .cells import Cells
 from .common import cosine, stack, unit, usable
 
-#: Rows that the centres are fitted on, and vectors that a cell should hold.
-SAMPLE, CELL = 20_000, 400
+#: Vectors that a cell should hold, and codes that one task takes.
+CELL, PART = 400, 20_000
 #: Width of the error bound in standard deviations.
 SIGMAS = 2.2
 #: Bits of a code, at least: shorter vectors are padded before the rotation, which narrows the bound.
@@ -40,25 +43,6 @@ BITS = 96
 BROADCAST_IDS = 300_000
 
 
-def centres(vectors: DataFrame, rows: int, dim: int, seed: int = 0) -> np.ndarray:
-    """Spherical k-means centres fitted on about SAMPLE vectors, chosen by a hash of the id (never more than twice as many)."""
-    share = min(1.0, SAMPLE / max(1, rows))
-    chosen = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    s = vectors.filter(chosen).select("v").limit(2 * SAMPLE).toPandas()
-    if not len(s):
-        return np.zeros((1, dim), np.float32)
-    x = unit(stack(s["v"]))
-    k = int(min(max(1, rows // CELL), max(1, len(x) // 10), 2048))
-    c = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
-    for _ in range(6):
-        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        n = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(n > 1e-6, sums / np.maximum(n, 1e-6), c).astype(np.float32)
-    return c
-
-
 def rotation(dim: int, seed: int = 1) -> np.ndarray:
     """Rows of a random orthogonal matrix: takes a vector of dim values, padded with zeros, to max(BITS, dim) axes."""
     bits = max(BITS, -(-dim // 8) * 8)
@@ -66,40 +50,41 @@ def rotation(dim: int, seed: int = 1) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)[:dim]
 
 
-ENTRY = "cell int, is_query boolean, h long, code binary, scale float, fit float"
+ENTRY = "cell int, part int, is_query boolean, h long, code binary, scale float, fit float"
 
 
-def encode(vectors: DataFrame, c: np.ndarray, p: np.ndarray, probes: int) -> DataFrame:
+def encode(vectors: DataFrame, cells: Cells, p: np.ndarray, probes: int) -> DataFrame:
     """Rows of ENTRY: each vector once as a code of its cell, and once for each cell that it probes.
 
     A code carries its packed bits, its residual's length and the code's inner product with the residual's
     direction; a query carries its rotated residual in eight bits, their step, and the residual's length.
     """
+    c, parts = cells.pivots, cells.parts(PART).astype(np.int32)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             x, h = unit(stack(b["v"])), b["h"].to_numpy()
-            n, k = len(x), min(probes, len(c))
-            sims = x @ c.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            home = sims.argmax(axis=1)
+            near = cells.nearest(x, probes)
+            home = near[:, 0]
             r = (x - c[home]) @ p
             length = np.linalg.norm(r, axis=1)
             fit = np.abs(r).sum(axis=1) / np.maximum(length, 1e-12) / np.sqrt(p.shape[1])
             bits = np.packbits(r > 0, axis=1)
+            part = (h.view(np.uint64) % parts[home].astype(np.uint64)).astype(np.int32)
             yield pd.DataFrame(
-                {"cell": home.astype(np.int32), "is_query": False, "h": h, "code": [z.tobytes() for z in bits], "scale": length, "fit": fit}
+                {"cell": home.astype(np.int32), "part": part, "is_query": False, "h": h, "code": [z.tobytes() for z in bits], "scale": length, "fit": fit}
             )
-            for j in range(k):
+            for j in range(near.shape[1]):
                 cell = near[:, j]
                 q = (x - c[cell]) @ p
                 step = np.maximum(np.abs(q).max(axis=1, keepdims=True), 1e-12) / 127
                 small = np.rint(q / step).astype(np.int8)
-                yield pd.DataFrame(
+                asks = pd.DataFrame(
                     {
                         "cell": cell.astype(np.int32),
+                        "part": np.int32(0),
                         "is_query": True,
                         "h": h,
                         "code": [z.tobytes() for z in small],
@@ -107,12 +92,14 @@ def encode(vectors: DataFrame, c: np.ndarray, p: np.ndarray, probes: int) -> Dat
                         "fit": np.linalg.norm(q, axis=1),
                     }
                 )
+                for i in range(parts[cell].max()):
+                    yield (asks if not i else asks[parts[cell] > i]).assign(part=np.int32(i))
 
     return vectors.select("h", "v").mapInPandas(run, ENTRY)
 
 
 def _scan(pdf: pd.DataFrame, dim: int, k: int, least: float, block: int) -> pd.DataFrame:
-    """Candidates (a, b) of one cell."""
+    """Candidates (a, b) of one part of a cell."""
     asks = pdf["is_query"].to_numpy(bool)
     o, q = pdf[~asks], pdf[asks]
     out: list[pd.DataFrame] = []
@@ -137,19 +124,21 @@ def _scan(pdf: pd.DataFrame, dim: int, k: int, least: float, block: int) -> pd.D
                 low = np.where(same, -np.inf, est - err)
                 if low.shape[1] >= k:
                     kth = np.maximum(kth, -np.partition(-low, k - 1, axis=1)[:, k - 1 : k])
-                kept.append((t, est + err, same))
-            for t, high, same in kept:
+                high = est + err
                 i, j = np.nonzero((high >= np.maximum(kth, least)) & ~same)
-                out.append(pd.DataFrame({"a": qh[i], "b": oh[t + j]}))
+                kept.append((i, t + j, high[i, j]))
+            for i, j, high in kept:  # bounds of later blocks hold for earlier ones, too
+                ok = high >= np.maximum(kth[i, 0], least)
+                out.append(pd.DataFrame({"a": qh[i[ok]], "b": oh[j[ok]]}))
     return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
 
 def candidates(vectors: DataFrame, rows: int, dim: int, k: int, least: float, probes: int, block: int = 4096) -> DataFrame:
     """Distinct unordered pairs (a, b) of vectors(id, h, v) by h."""
-    c, p = centres(vectors, rows, dim), rotation(dim)
+    cells, p = Cells.fit(vectors, rows, CELL, dim), rotation(dim)
     found = (
-        encode(vectors, c, p, probes)
-        .groupBy("cell")
+        encode(vectors, cells, p, probes)
+        .groupBy("cell", "part")
         .applyInPandas(lambda pdf: _scan(pdf, p.shape[1], k, least, block), "a long, b long")
     )
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -262,6 +262,20 @@ def test_many_copies_keep_five_neighbours(spark):
     assert len(by) == 40 and sorted(by["k039"]) == [(i + 1, f"k{i:03d}") for i in range(5)]
 
 
+def test_neighbours_over_parts_of_cells_and_two_levels(spark, monkeypatch):
+    from engramlake.llm import cells
+
+    monkeypatch.setattr(p3_neighbours, "PART", 40)
+    rows = sample_records("m", 150, 4)
+    got = p3_neighbours.close_pairs(spark.createDataFrame(rows, RECORD), {"vector": 96})
+    assert {(r[0], r[1]) for r in got.collect()} == brute_near(rows, 5, 0.96)
+    monkeypatch.setattr(cells, "FIRST", 4)
+    monkeypatch.setattr(p3_neighbours, "CELL", 8)
+    got = p3_neighbours.close_pairs(spark.createDataFrame(rows, RECORD), {"vector": 96})
+    found, truth = {(r[0], r[1]) for r in got.collect()}, brute_near(rows, 5, 0.96)
+    assert found <= truth and len(found) >= 0.9 * len(truth)
+
+
 def test_recall_of_all_neighbours(spark, sf):
     from engramlake.tables import read
 
