@@ -17,7 +17,9 @@ from ..tables import lit_ts
 
 #: Queries up to this number are broadcast to the scan; beyond it they meet the rows block by block through a shuffle.
 BROADCAST_QUERIES = 10_000
-HITS = "qid string, id string, sim double"
+#: Rows of one part in that case, and hits that a task gathers before it keeps the best.
+PART_ROWS, GATHER = 100_000, 2_000_000
+HITS = "qid string, id string, grp string, sim double"
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
@@ -25,62 +27,157 @@ def _matrix(s: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of each query; of equals those with the smaller ids."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    out = []
-    for s in range(0, len(q), 256):
-        sims = q[s : s + 256] @ x.T
-        for i, row in enumerate(sims):
-            if len(row) > k:
-                cut = -np.partition(-row, k - 1)[k - 1]
-                sure = np.flatnonzero(row > cut)
-                j = np.concatenate([sure, np.flatnonzero(row == cut)[: k - len(sure)]])
-            else:
-                j = np.arange(len(row))
-            out.append(pd.DataFrame({"qid": qids[s + i], "id": ids[j], "sim": row[j]}))
-    return pd.concat(out) if out else pd.DataFrame({"qid": [], "id": [], "sim": []})
-
-
-def nearest(rows: DataFrame, queries: DataFrame, field: str, dim: int, k: int) -> DataFrame:
-    """(qid, id, sim, rank): the k rows(id, field) of largest cosine for each of queries(qid, field).
-
-    Each batch of rows keeps its k best for a query, so what is shuffled does not grow with the rows a
-    task reads. Unusable vectors take no part; ties go to the smaller id.
+class _Best:
+    """The k best different ids of each query, or of each query and group of rows, over all batches that a task reads."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, own: np.ndarray | None, k: int):
+        #: own: the group each query is bound to
+        self.qids, self.q, self.own, self.k = qids, q, own, k
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, ids: np.ndarray, x: np.ndarray, groups: np.ndarray) -> None:
+        ids, one = np.unique(ids.astype(str), return_index=True)  # sorted: of equals the smaller id comes first
+        x, groups = x[one], groups[one]
+        for g in pd.unique(groups):
+            rows = np.flatnonzero(groups == g)
+            asks = np.arange(len(self.q)) if self.own is None else np.flatnonzero(self.own == g)
+            for s in range(0, len(asks), 512):
+                self._gather(asks[s : s + 512], rows, ids, x, g)
+        if self.size > max(GATHER, 2 * self.k * len(self.q)):
+            self.parts = [self._reduced()]
+            self.size = len(self.parts[0][0])
+
+    def _gather(self, asks: np.ndarray, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, g: str) -> None:
+        sims, k = self.q[asks] @ x[rows].T, self.k
+        if len(rows) > k:
+            best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(sims, best, axis=1).min(axis=1)
+            for i in np.flatnonzero((sims >= least[:, None]).sum(axis=1) > k):  # ties at the cut
+                sure = np.flatnonzero(sims[i] > least[i])
+                best[i] = np.concatenate([sure, np.flatnonzero(sims[i] == least[i])[: k - len(sure)]])
+        else:
+            best = np.broadcast_to(np.arange(len(rows)), sims.shape)
+        n = best.shape[1]
+        self.parts.append((np.repeat(asks, n), np.full(best.size, g, object), ids[rows[best.ravel()]], np.take_along_axis(sims, best, axis=1).ravel()))
+        self.size += best.size
+
+    def _reduced(self) -> tuple:
+        asks, groups, ids, sims = (np.concatenate(c) for c in zip(*self.parts))
+        g = pd.factorize(groups)[0]
+        order = np.lexsort((ids, -sims, g, asks))
+        asks, groups, ids, sims, g = asks[order], groups[order], ids[order], sims[order], g[order]
+        new = np.append(True, (asks[1:] != asks[:-1]) | (g[1:] != g[:-1]))
+        fresh = new | np.append(True, ids[1:] != ids[:-1])
+        asks, groups, ids, sims, new = asks[fresh], groups[fresh], ids[fresh], sims[fresh], new[fresh]
+        at = np.arange(len(asks))
+        keep = at - np.maximum.accumulate(np.where(new, at, 0)) < self.k
+        return asks[keep], groups[keep], ids[keep], sims[keep]
+
+    def hits(self) -> Iterator[pd.DataFrame]:
+        if self.parts:
+            asks, groups, ids, sims = self._reduced()
+            for s in range(0, len(asks), 50_000):
+                e = slice(s, s + 50_000)
+                yield pd.DataFrame({"qid": self.qids[asks[e]], "id": ids[e], "grp": groups[e], "sim": sims[e]})
+
+
+def nearest(rows: DataFrame, queries: DataFrame, field: str, dim: int, k: int, within: str | None = None, by: str | None = None) -> DataFrame:
+    """(qid, id, grp, sim, rank): the k rows(id, field) of largest cosine for each of queries(qid, field).
+
+    within: a column of both; a query sees the rows of its own value only. by: a column of rows; the k best
+    of each of its values come out. Each task keeps its k best over all that it reads, so what is shuffled
+    does not grow with the rows of a task, and no vector is shuffled. Rows of one id (equal in field) count
+    once. Unusable vectors take no part; ties go to the smaller id.
     """
     v = F.col(field)
-    r = rows.filter(F.col("id").isNotNull() & vec.usable(v, dim)).select("id", v.alias("v"))
-    q = queries.filter(F.col("qid").isNotNull() & vec.usable(v, dim)).select("qid", v.alias("qv"))
+    group = F.coalesce(F.col(within or by), F.lit("")) if within or by else F.lit("")
+    r = rows.filter(F.col("id").isNotNull() & vec.usable(v, dim)).select("id", v.alias("v"), group.alias("grp"))
+    own = F.col(within) if within else F.lit(None).cast("string")
+    q = queries.filter(F.col("qid").isNotNull() & vec.usable(v, dim)).select("qid", v.alias("qv"), own.alias("own"))
+    if within:
+        q = q.filter("own is not null")
+        r = r.filter("grp <> ''")
+
+    def start(p: pd.DataFrame) -> tuple:
+        return p["qid"].to_numpy(), _matrix(p["qv"]), p["own"].to_numpy() if within else None, k
+
     some = q.limit(BROADCAST_QUERIES + 1).toPandas()
     if not len(some):
         found = q.sparkSession.createDataFrame([], HITS)
     elif len(some) <= BROADCAST_QUERIES:
-        shared = q.sparkSession.sparkContext.broadcast((some["qid"].to_numpy(), _matrix(some["qv"])))
+        shared = q.sparkSession.sparkContext.broadcast(start(some))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Best(*shared.value)
             for b in batches:
                 if len(b):
-                    yield _best(*shared.value, b["id"].to_numpy(), _matrix(b["v"]), k)
+                    best.add(b["id"].to_numpy(), _matrix(b["v"]), b["grp"].to_numpy())
+            yield from best.hits()
 
         found = r.mapInPandas(scan, HITS)
     else:
-        blocks, parts = -(-q.count() // BROADCAST_QUERIES), 64
+        blocks, parts = -(-q.count() // BROADCAST_QUERIES), max(1, -(-rows.count() // PART_ROWS))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         q2 = q.withColumns({"block": F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"), "part": every(parts)})
         r2 = r.withColumns({"part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "block": every(blocks)})
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"qid": pd.Series(dtype=str), "id": pd.Series(dtype=str), "sim": pd.Series(dtype=float)})
-            return _best(a["qid"].to_numpy(), _matrix(a["qv"]), b["id"].to_numpy(), _matrix(b["v"]), k)
+            out = [pd.DataFrame({c: pd.Series(dtype=float if c == "sim" else str) for c in ("qid", "id", "grp", "sim")})]
+            if len(a) and len(b):
+                best = _Best(*start(a))
+                for s in range(0, len(b), 10_000):
+                    e = b.iloc[s : s + 10_000]
+                    best.add(e["id"].to_numpy(), _matrix(e["v"]), e["grp"].to_numpy())
+                out = list(best.hits()) or out
+            return pd.concat(out)
 
         found = q2.groupBy("block", "part").cogroup(r2.groupBy("block", "part")).applyInPandas(meet, HITS)
+    w = Window.partitionBy("qid", *(["grp"] if by else [])).orderBy(F.desc("sim"), "id")
+    one = found.repartition("qid").groupBy("qid", "grp", "id").agg(F.max("sim").alias("sim"))  # a repeated id may lie in two tasks
+    return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def nearest_approximate(rows: DataFrame, queries: DataFrame, field: str, dim: int, k: int, least: float, bucket: float = 0.5, tables: int = 12) -> DataFrame:
+    """(qid, id, sim, rank) of rows with a cosine of `least` or more that share a bucket with the query in one of `tables`
+    random projections (Spark ML); the cosine is exact, what is lost are rows that share none. Best where `least` is high.
+
+    Rows of one id count once; unusable vectors take no part; an empty side gives no rows.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    def side(df: DataFrame, key: str) -> DataFrame:
+        good = vec.usable(F.col(field), dim)  # the conversion may come before the filter
+        v = F.when(good, F.col(field)).otherwise(F.array_repeat(F.lit(1.0).cast("float"), dim))
+        ok = df.filter(F.col(key).isNotNull() & good).select(F.col(key).alias("key"), array_to_vector(v).alias("raw"))
+        return Normalizer(inputCol="raw", outputCol="v").transform(ok).select("key", "v")
+
+    one, two = side(queries, "qid"), side(rows, "id")
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1)
+    model = lsh.fit(one if one.head(1) else two) if one.head(1) or two.head(1) else None
+    if model is None:
+        return rows.sparkSession.createDataFrame([], "qid string, id string, sim double, rank int")
+    met = model.approxSimilarityJoin(one, two, float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9, "far")
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (
+        met.select(F.col("datasetA.key").alias("qid"), F.col("datasetB.key").alias("id"), (1 - F.col("far") * F.col("far") / 2).alias("sim"))
+        .groupBy("qid", "id").agg(F.max("sim").alias("sim"))
+        .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    )
+
+
+def search(rows: DataFrame, queries: DataFrame, field: str, dim: int, k: int, strategy: str = "exact", least: float = 0.75) -> DataFrame:
+    """nearest() or nearest_approximate() by the strategy "exact" or "approximate"."""
+    if strategy == "exact":
+        return nearest(rows, queries, field, dim, k).drop("grp")
+    if strategy == "approximate":
+        return nearest_approximate(rows, queries, field, dim, k, least)
+    raise ValueError(f"unknown strategy {strategy}")
 
 
 def hybrid(
+    rows: DataFrame,
     memories: DataFrame,
     queries: DataFrame,
     as_of: dt.datetime,
@@ -91,27 +188,22 @@ def hybrid(
     tags_dim: int = 32,
     lang: str = "eng",
 ) -> DataFrame:
-    """(qid, id, similarity, rank) by (cosine + tag_weight * max(tag cosine, keyword rate)) * retrievability.
+    """(qid, id, container_tag, similarity, rank) by (cosine + tag_weight * max(tag cosine, keyword rate)) * retrievability.
 
-    queries(qid, vector, tags_vector, content, container_tag). Both indexes are asked for over_fetch * k rows.
-    container: "none", "post" (only the query's container, after the cut) or "pre" (before it).
+    rows(id, vector, tags_vector, container_tag) are scanned, ids may repeat; memories has one row per id
+    and no vectors: (id, container_tag, tags, created_at, last_accessed_at, stability). queries(qid, vector,
+    tags_vector, content, container_tag). Both indexes are asked for over_fetch * k rows. container: "none";
+    "post" (only the query's container, after the cut) or "pre" (before it); "each" (k hits of every container).
     """
     wide = p.over_fetch * k
     cont = queries.select("qid", F.col("container_tag").alias("q_container"))
+    bound = {"within": "container_tag"} if container == "pre" else {"by": "container_tag"} if container == "each" else {}
 
     def ask(field: str, n: int, name: str) -> DataFrame:
-        if container != "pre":
-            return nearest(memories, queries, field, n, wide).select("qid", "id", F.col("sim").alias(name))
-        # each query sees its own container only: score the rows of the containers that are asked for
-        r = memories.select("id", F.col(field).alias("rv"), F.col("container_tag").alias("q_container"))
-        q = queries.select("qid", F.col(field).alias("qv"), F.col("container_tag").alias("q_container"))
-        ok = vec.usable(F.col("rv"), n) & vec.usable(F.col("qv"), n)
-        w = Window.partitionBy("qid").orderBy(F.desc(name), "id")
-        sims = q.join(r, "q_container").filter(ok).select("qid", "id", vec.cosine(F.col("qv"), F.col("rv")).alias(name))
-        return sims.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= wide).drop("r")
+        return nearest(rows, queries, field, n, wide, **bound).select("qid", "id", F.col("sim").alias(name))
 
     found = ask("vector", dim, "content_sim").join(ask("tags_vector", tags_dim, "tags_sim"), ["qid", "id"], "full")
-    rows = memories.select(
+    own = memories.select(
         "id",
         "container_tag",
         text.normal_tags(F.col("tags")).alias("t"),
@@ -124,10 +216,10 @@ def hybrid(
     r = decay.retrievability(F.col("days"), F.col("s"), p) if p.decay_enabled else F.lit(1.0)
     z = F.lit(0.0)
     score = (F.coalesce("content_sim", z) + F.lit(p.tag_weight) * F.greatest(F.coalesce("tags_sim", z), boost)) * r
-    full = found.join(rows, "id").join(kw, "qid").join(cont, "qid")
+    full = found.join(own, "id").join(kw, "qid").join(cont, "qid")
     if container == "post":
         full = full.filter(F.col("container_tag") == F.col("q_container"))
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
+    w = Window.partitionBy("qid", *(["container_tag"] if container == "each" else [])).orderBy(F.desc("similarity"), "id")
     return (
         full.select("qid", "id", "container_tag", score.alias("similarity"))
         .filter((F.col("similarity") >= p.similarity_threshold) & ~F.isnan("similarity"))
@@ -144,18 +236,18 @@ def scatter_gather(hits: DataFrame, shard: str, per_shard: int, total: int) -> D
     return best.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= total).drop("r")
 
 
-def with_graph(hits: DataFrame, undirected: DataFrame, clusters: DataFrame) -> DataFrame:
+def with_graph(hits: DataFrame, undirected: DataFrame, clusters: DataFrame, ids: DataFrame) -> DataFrame:
     """Hits and their neighbours: (qid, id, similarity, source, linked_from, link_type, cluster_id, cluster_strength).
 
     A neighbour that is no hit comes once, from the best ranked hit that reaches it; its similarity is the
-    link's strength. Each row carries its strongest stored cluster, of equals the later one.
+    link's strength. Link ends that are not among ids(id), the memories, do not come out. Each row carries its strongest stored cluster, of equals the later one.
     """
     direct = hits.select("qid", "id", "similarity", "rank")
     reach = direct.join(undirected.withColumnRenamed("node", "id"), "id").select(
         "qid", F.col("neighbor").alias("id2"), F.struct("rank", "link_id", F.col("id").alias("from"), "link_type", "strength").alias("via")
     )
     reach = reach.groupBy("qid", "id2").agg(F.min("via").alias("via")).withColumnRenamed("id2", "id")
-    new = reach.join(direct.select("qid", "id"), ["qid", "id"], "left_anti")
+    new = reach.join(direct.select("qid", "id"), ["qid", "id"], "left_anti").join(ids.select("id"), "id", "left_semi")
     rows = direct.select(
         "qid", "id", "similarity", F.lit("search").alias("source"), F.lit(None).cast("string").alias("linked_from"), F.lit(None).cast("string").alias("link_type")
     ).unionByName(

@@ -53,7 +53,8 @@ SELECT qid, id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM r WHERE
 
 
 def hybrid(thr: float = 0.25, decay: bool = True, container: str = "none", k: int = 10) -> str:
-    """CTEs that end with hits(qid, id, container_tag, similarity, rank)."""
+    """CTEs that end with hits(qid, id, container_tag, similarity, rank); container "each": k hits of every container."""
+    each = container == "each"
     pre = "AND a.c = b.c" if container == "pre" else ""
     c = "container_tag AS c,"
     sides = []
@@ -62,7 +63,7 @@ def hybrid(thr: float = 0.25, decay: bool = True, container: str = "none", k: in
         sides.append(unit(f"mu_{name}", "mem", field, dim, c))
         sides.append(
             f"""t_{name} AS (SELECT * FROM (SELECT a.id AS qid, b.id AS id, {COS} AS sim,
- row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) AS r FROM qu_{name} a JOIN mu_{name} b ON true {pre}) WHERE r <= {4 * k})"""
+ row_number() OVER (PARTITION BY a.id{", b.c" if each else ""} ORDER BY {COS} DESC, b.id) AS r FROM qu_{name} a JOIN mu_{name} b ON true {pre}) WHERE r <= {4 * k})"""
         )
     post = "WHERE m.container_tag = q.container_tag" if container == "post" else ""
     r = R.replace("last_accessed_at", "m.last_accessed_at").replace("created_at", "m.created_at").replace("stability", "m.stability") if decay else "1.0"
@@ -75,7 +76,7 @@ tg AS (SELECT id, {LOWER_TAGS} AS tg FROM mem),
 s AS (SELECT f.qid, f.id, m.container_tag, (cs + 0.3 * greatest(ts, CASE WHEN len(kw.kw) > 0 THEN
     len(list_filter(kw.kw, lambda w: len(list_filter(tg.tg, lambda t: contains(t, w))) > 0)) / len(kw.kw) ELSE 0.0 END)) * ({r}) AS similarity
   FROM f JOIN mem m ON m.id = f.id JOIN kw ON kw.id = f.qid JOIN tg ON tg.id = f.id JOIN q ON q.id = f.qid {post}),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM s
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid{", container_tag" if each else ""} ORDER BY similarity DESC, id) AS rank FROM s
   WHERE similarity >= {thr} AND NOT isnan(similarity)) WHERE rank <= {k})"""
 
 
@@ -105,12 +106,12 @@ one AS (SELECT id, c, len(s) AS n, unnest(s) AS g FROM sh),
 near AS (SELECT a.id AS source_id, b.id AS target_id FROM one a JOIN one b ON a.c = b.c AND a.g = b.g AND a.id < b.id
   GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9)"""
 ADJACENT = f"""WITH {MEM}, {unit("v", "mem", "vector", 96, "container_tag, created_at,")},
-l AS (SELECT *, lag(v) OVER w AS pv, lag(n) OVER w AS pn FROM v WINDOW w AS (PARTITION BY container_tag, date_trunc('month', created_at AT TIME ZONE 'UTC') ORDER BY created_at, id)),
+l AS (SELECT *, lag(v) OVER w AS pv, lag(n) OVER w AS pn FROM v WINDOW w AS (PARTITION BY container_tag ORDER BY created_at, id)),
 s AS (SELECT container_tag, list_dot_product(v, pv) / (n * pn) AS sim FROM l WHERE pv IS NOT NULL)"""
 
 
 def incoming(k: int) -> str:
-    return f"""WITH {MEM}, i AS (SELECT DISTINCT ON (incoming_id) incoming_id AS id, vector FROM incoming WHERE seq % 50 = 0),
+    return f"""WITH {MEM}, i AS (SELECT DISTINCT ON (incoming_id) incoming_id AS id, vector FROM incoming WHERE incoming_id IS NOT NULL),
 {unit("qu", "i", "vector", 96)}, {unit("mu", "mem", "vector", 96)},
 s AS (SELECT a.id AS qid, b.id AS id, {COS} AS sim FROM qu a CROSS JOIN mu b),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM s)
@@ -149,15 +150,14 @@ ORACLES = {
     "hybrid_search_no_decay": hybrid(0.6, False) + OUT,
     "hybrid_search_container_post": hybrid(container="post") + OUT,
     "hybrid_search_container_pre": hybrid(container="pre") + OUT,
-    "sharded_topk": hybrid(decay=False, k=40) + """,
- a AS (SELECT *, row_number() OVER (PARTITION BY qid, container_tag ORDER BY similarity DESC, id) AS r FROM hits),
- b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS r2 FROM a WHERE r <= 10)
+    "sharded_topk": hybrid(decay=False, container="each") + """,
+ b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS r2 FROM hits)
  SELECT qid, id, round(similarity, 6) AS similarity, CAST(r2 AS INTEGER) AS rank FROM b WHERE r2 <= 20""",
     "graph_search": hybrid() + f""", {U}, {STORED},
  via AS (SELECT h.qid, u.neighbor AS id, u.strength, h.id AS linked_from, u.link_type, row_number() OVER (PARTITION BY h.qid, u.neighbor ORDER BY h.rank, u.link_id, h.id, u.link_type, u.strength) AS r
    FROM hits h JOIN u ON u.node = h.id),
  al AS (SELECT qid, id, similarity, 'search' AS source, NULL AS linked_from, NULL AS link_type FROM hits
-   UNION ALL SELECT qid, id, strength, 'link', linked_from, link_type FROM via v WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.qid = v.qid AND h.id = v.id)),
+   UNION ALL SELECT qid, id, strength, 'link', linked_from, link_type FROM via v WHERE r = 1 AND id IN (SELECT id FROM mem) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.qid = v.qid AND h.id = v.id)),
  best AS (SELECT member, arg_max(cluster_id, (coalesce(avg_strength, -1.0), cluster_id)) AS cluster_id FROM stored GROUP BY member)
  SELECT qid, id, round(CASE WHEN isnan(similarity) THEN -1.0 ELSE similarity END, 6) AS similarity, source, linked_from, link_type, cluster_id
  FROM al LEFT JOIN best ON best.member = al.id""",
@@ -226,11 +226,11 @@ ORACLES = {
  n AS (SELECT cluster_id, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 2 ORDER BY cluster_id LIMIT 10),
  r AS (SELECT m.*, n.n, row_number() OVER (PARTITION BY m.cluster_id ORDER BY member) AS r FROM m JOIN n USING (cluster_id))
  SELECT cluster_id, max(n) AS n_members, 'synth_' || sha256(string_agg(member, ',' ORDER BY r)) AS new_id,
-   sha256(string_agg('[' || r || '] ' || content, chr(10) || chr(10) ORDER BY r)) AS prompt_hash FROM r WHERE r <= 50 GROUP BY cluster_id""",
+   sha256(string_agg('[' || r || '] ' || content, chr(10) || chr(10) ORDER BY r)) AS prompt_hash FROM r GROUP BY cluster_id""",
     "synthesis_links": f"""WITH {MEM}, {STORED}, s AS (SELECT DISTINCT cluster_id, member FROM stored), m AS (SELECT s.* FROM s JOIN mem ON mem.id = s.member),
  n AS (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) >= 2 ORDER BY cluster_id LIMIT 10),
  r AS (SELECT m.*, row_number() OVER (PARTITION BY cluster_id ORDER BY member) AS r FROM m),
- i AS (SELECT cluster_id, 'synth_' || sha256(string_agg(member, ',' ORDER BY r)) AS source_id FROM r WHERE r <= 50 AND cluster_id IN (SELECT cluster_id FROM n) GROUP BY 1)
+ i AS (SELECT cluster_id, 'synth_' || sha256(string_agg(member, ',' ORDER BY r)) AS source_id FROM r WHERE cluster_id IN (SELECT cluster_id FROM n) GROUP BY 1)
  SELECT DISTINCT source_id, s.member AS target_id, 'reflection_of' AS link_type, CAST(1 AS DOUBLE) AS strength FROM i JOIN s USING (cluster_id)""",
     "shard_rotation": f"""WITH {MEM}, r AS (SELECT id, container_tag, (row_number() OVER (PARTITION BY container_tag ORDER BY created_at NULLS LAST, id) - 1) // 100 AS shard_index FROM mem)
  SELECT container_tag, shard_index, count(*) AS n, min(id) AS first_id FROM r GROUP BY 1, 2""",

@@ -32,8 +32,8 @@ def micros(c: str):
 def stated_queries(spark: SparkSession, d: str) -> DataFrame:
     """The query set: sources of the links whose id is divisible by 50, as (qid, vector, tags_vector, content, container_tag)."""
     q = read(spark, d, "links").filter("id % 50 = 0").select(F.col("source_id").alias("id")).distinct()
-    m = memories(spark, d, "id", "vector", "tags_vector", "content", "container_tag").join(q, "id", "left_semi")
-    return materialise(m.withColumnRenamed("id", "qid"), "queries")
+    m = read(spark, d, "memories").select("id", "vector", "tags_vector", "content", "container_tag").join(q, "id", "left_semi")
+    return materialise(m.dropDuplicates(["id"]).withColumnRenamed("id", "qid"), "queries")
 
 
 def list_recent(spark, d):
@@ -101,17 +101,23 @@ def detected_languages(spark, d):
 
 
 def knn_batch(spark, d):
-    m = memories(spark, d, "id", "vector")
-    return search.nearest(m, stated_queries(spark, d), "vector", 96, K).select("qid", "id", r6("sim").alias("sim"), "rank")
+    h = search.nearest(read(spark, d, "memories"), stated_queries(spark, d), "vector", 96, K)
+    return h.select("qid", "id", r6("sim").alias("sim"), "rank")
 
 
 def knn_tags(spark, d):
-    m = memories(spark, d, "id", "tags_vector")
-    return search.nearest(m, stated_queries(spark, d), "tags_vector", 32, K).select("qid", "id", r6("sim").alias("sim"), "rank")
+    h = search.nearest(read(spark, d, "memories"), stated_queries(spark, d), "tags_vector", 32, K)
+    return h.select("qid", "id", r6("sim").alias("sim"), "rank")
+
+
+def knn_approximate(spark, d):
+    h = search.search(read(spark, d, "memories"), stated_queries(spark, d), "vector", 96, K, "approximate", P.dedup_similarity_threshold)
+    return h.select("qid", "id", r6("sim").alias("sim"), "rank")
 
 
 def _hits(spark, d, p: Params = P, container: str = "none", k: int = K) -> DataFrame:
-    return search.hybrid(memories(spark, d), stated_queries(spark, d), AS_OF, p, k, container)
+    own = memories(spark, d, "id", "container_tag", "tags", "created_at", "last_accessed_at", "stability")
+    return search.hybrid(read(spark, d, "memories"), own, stated_queries(spark, d), AS_OF, p, k, container)
 
 
 def _out(h: DataFrame) -> DataFrame:
@@ -135,12 +141,13 @@ def hybrid_search_container_pre(spark, d):
 
 
 def sharded_topk(spark, d):
-    h = search.scatter_gather(_hits(spark, d, dataclasses.replace(P, decay_enabled=False), k=40), "container_tag", 10, 20)
+    """Each container is searched for its own 10 best; the best 20 of them all are kept."""
+    h = search.scatter_gather(_hits(spark, d, dataclasses.replace(P, decay_enabled=False), "each"), "container_tag", 10, 20)
     return _out(h)
 
 
 def graph_search(spark, d):
-    g = search.with_graph(_hits(spark, d), graph.undirected(read(spark, d, "links")), graph.stored_members(read(spark, d, "clusters")))
+    g = search.with_graph(_hits(spark, d), graph.undirected(read(spark, d, "links")), graph.stored_members(read(spark, d, "clusters")), read(spark, d, "memories").select("id"))
     return g.select("qid", "id", r6(F.nanvl("similarity", F.lit(-1.0))).alias("similarity"), "source", "linked_from", "link_type", "cluster_id")
 
 
@@ -333,12 +340,8 @@ def front_matter(spark, d):
 
 
 def _adjacent(spark, d) -> DataFrame:
-    m = memories(spark, d, "id", "container_tag", "created_at", "vector").filter(vec.usable(F.col("vector"), 96))
-    # neighbours in time within a container and month, so that no container is one task
-    w = Window.partitionBy("container_tag", F.date_trunc("month", "created_at")).orderBy("created_at", "id")
-    return m.withColumn("before", F.lag("vector").over(w)).filter("before is not null").select(
-        "container_tag", vec.cosine(F.col("vector"), F.col("before")).alias("sim")
-    )
+    m = read(spark, d, "memories").filter(F.col("id").isNotNull() & vec.usable(F.col("vector"), 96)).select("id", "container_tag", "created_at", "vector")
+    return vec.adjacent(m, F.date_trunc("week", "created_at"))
 
 
 def adjacent_similarity(spark, d):
@@ -366,23 +369,23 @@ def session_activity(spark, d):
 
 
 def _incoming_queries(spark, d) -> DataFrame:
-    i = read(spark, d, "incoming").filter("seq % 50 = 0").dropDuplicates(["incoming_id"])
+    i = read(spark, d, "incoming").filter("incoming_id is not null").dropDuplicates(["incoming_id"])
     return materialise(i.select(F.col("incoming_id").alias("qid"), "vector"), "incoming")
 
 
 def dedup_on_add(spark, d):
-    h = search.nearest(memories(spark, d, "id", "vector"), _incoming_queries(spark, d), "vector", 96, 1)
+    h = search.nearest(read(spark, d, "memories"), _incoming_queries(spark, d), "vector", 96, 1)
     return h.select("qid", "id", r6("sim").alias("sim"), (F.col("sim") >= P.dedup_similarity_threshold).alias("skip"))
 
 
 def auto_link_on_add(spark, d):
-    h = search.nearest(memories(spark, d, "id", "vector"), _incoming_queries(spark, d), "vector", 96, P.auto_link_max_connections)
+    h = search.nearest(read(spark, d, "memories"), _incoming_queries(spark, d), "vector", 96, P.auto_link_max_connections)
     return h.filter(F.col("sim") >= P.auto_link_similarity_threshold).select("qid", "id", r6("sim").alias("strength"))
 
 
 def auto_link_candidates(spark, d):
     """New semantic links of the stated queries: the most similar others that they are not linked to yet."""
-    h = search.nearest(memories(spark, d, "id", "vector"), stated_queries(spark, d), "vector", 96, P.auto_link_max_connections + 5)
+    h = search.nearest(read(spark, d, "memories"), stated_queries(spark, d), "vector", 96, P.auto_link_max_connections + 5)
     have = graph.undirected(read(spark, d, "links")).select(F.col("node").alias("qid"), F.col("neighbor").alias("id"))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
     new = h.filter(F.col("id") != F.col("qid")).filter(F.col("sim") >= P.auto_link_similarity_threshold - 0.001)
@@ -391,7 +394,7 @@ def auto_link_candidates(spark, d):
 
 
 NAMES = """list_recent list_by_container memory_hydrated memories_by_session tags_normalised tag_counts trivial_memories
-container_counts keyword_hits sentence_counts detected_languages knn_batch knn_tags hybrid_search hybrid_search_no_decay
+container_counts keyword_hits sentence_counts detected_languages knn_batch knn_tags knn_approximate hybrid_search hybrid_search_no_decay
 hybrid_search_container_post hybrid_search_container_pre sharded_topk graph_search hebbian_delta neighbors
 neighbors_strong_semantic degree_audit link_upsert_ignore link_strengthen link_remove_typed link_remove_both bfs_paths
 link_clusters cluster_strengths new_clusters clusters_for_memory retrievability stability_fold prune_memories prune_links

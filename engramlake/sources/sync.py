@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 # Folders that are skipped, and types by first path segment.
-SKIPPED = ("node_modules", ".git", "dist", "build", "target", "__pycache__", "vendor")
-TYPES = {"profile": "profile", "projects": "project", "logs": "log", "notes": "note", "scripts": "script", "reference": "reference"}
+SKIPPED = ("node_modules", "data", "plans", "_synced", ".git", ".model-cache", "dist")
+TYPES = {"profile": "profile", "projects": "project", "logs": "log", "notes": "note", "scripts": "script"}
 
 
 def scan_markdown(spark: SparkSession, root: str) -> DataFrame:

@@ -112,6 +112,75 @@ def test_nearest_equals_brute_force(spark, monkeypatch, limit):
     assert search.nearest(rows, q.limit(0), "v", 8, 4).count() == 0 and search.nearest(rows.limit(0), q, "v", 8, 4).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10_000, 3])
+def test_nearest_by_and_within_containers(spark, monkeypatch, limit):
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", limit)
+    monkeypatch.setattr(search, "GATHER", 10)
+    x = np.random.default_rng(1).standard_normal((80, 8)).astype(np.float32)
+    ids, c = [f"m{i:02d}" for i in range(80)], [("hot", "hot", "b", "c", None)[i % 5] for i in range(80)]
+    data = [(i, v.tolist(), g) for i, v, g in zip(ids, x, c)]
+    rows = spark.createDataFrame(data + data[:30], "id string, v array<float>, g string").repartition(3)  # repeated ids count once
+    q = rows.filter("id < 'm07'").dropDuplicates(["id"]).withColumnRenamed("id", "qid")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    best = lambda i, ok: [ids[j] for _, j in sorted((-round(float(u[i] @ u[j]), 12), j) for j in range(80) if ok(j))[:4]]
+    by, within = search.nearest(rows, q, "v", 8, 4, by="g").collect(), search.nearest(rows, q, "v", 8, 4, within="g").collect()
+    for i in range(7):
+        for g in ("hot", "b", "c", None):
+            assert [r["id"] for r in sorted((r for r in by if r["qid"] == ids[i] and r["grp"] == (g or "")), key=lambda r: r["rank"])] == best(i, lambda j: c[j] == g)
+        got = [r["id"] for r in sorted((r for r in within if r["qid"] == ids[i]), key=lambda r: r["rank"])]
+        assert got == ([] if c[i] is None else best(i, lambda j: c[j] == c[i]))
+
+
+def test_approximate_search_finds_close_rows(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((50, 16))
+    rows = [(f"m{i:02d}_{j}", (v + 0.1 * rng.standard_normal(16)).astype(np.float32).tolist()) for i, v in enumerate(base) for j in range(4)]
+    df = spark.createDataFrame(rows + [("bad", None), ("nan", [float("nan")] * 16), rows[0]], "id string, v array<float>")
+    q = df.filter("id like '%_0'").dropDuplicates(["id"]).withColumnRenamed("id", "qid")
+    truth = {(r["qid"], r["id"]) for r in search.search(df, q, "v", 16, 5).filter("sim >= 0.9").collect()}
+    got = search.search(df, q, "v", 16, 5, "approximate", 0.9).collect()
+    found = {(r["qid"], r["id"]) for r in got}
+    assert found <= truth and len(found) >= 0.9 * len(truth) and len(truth) > 150 and all(r["sim"] >= 0.9 for r in got)
+    assert search.search(df.limit(0), q.limit(0), "v", 16, 5, "approximate").count() == 0 and search.search(df, q.limit(0), "v", 16, 5, "approximate").count() == 0
+    with pytest.raises(ValueError):
+        search.search(df, q, "v", 16, 5, "other")
+
+
+def test_scatter_gather_searches_every_shard(spark):
+    v = lambda x: [float(np.cos(x)), float(np.sin(x))]
+    rows = [(f"h{i:02d}", v(0.001 * i), v(0), "hot") for i in range(200)] + [(f"o{i:02d}", v(0.5 + 0.001 * i), v(0), f"other{i % 3}") for i in range(30)]
+    m = spark.createDataFrame(rows, "id string, vector array<float>, tags_vector array<float>, container_tag string")
+    own = m.select("id", "container_tag", F.lit("").alias("tags"), F.lit(AS_OF).alias("created_at"), F.lit(AS_OF).alias("last_accessed_at"), F.lit(1.0).alias("stability"))
+    q = m.filter("id = 'h00'").select(F.col("id").alias("qid"), "vector", F.lit(None).cast("array<float>").alias("tags_vector"), F.lit("").alias("content"), "container_tag")
+    p = params.Params(similarity_threshold=0.0, decay_enabled=False)
+    got = search.scatter_gather(search.hybrid(m, own, q, AS_OF, p, 10, "each", 2, 2), "container_tag", 10, 20).collect()
+    assert sum(r["container_tag"] == "hot" for r in got) == 10 and len(got) == 20  # a hot shard takes no more than its share
+
+
+def test_adjacent_rows_across_time_buckets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"m{i:03d}", ("a", "b", None)[i % 3], AS_OF - dt.timedelta(days=int(d)) if d < 395 else None, rng.standard_normal(4).astype(np.float32).tolist()) for i, d in enumerate(rng.integers(0, 400, 90))]
+    df = spark.createDataFrame(rows + rows[:5], "id string, container_tag string, created_at timestamp, vector array<float>")
+    want = {}
+    for c in ("a", "b", None):
+        own = sorted((r for r in rows if r[1] == c), key=lambda r: (r[2] is None, r[2] or AS_OF, r[0]))
+        for x, y in zip(own, own[1:]):
+            a, b = np.array(x[3], float), np.array(y[3], float)
+            want[y[0]] = a @ b / np.sqrt(a @ a * (b @ b))
+    for bucket in ("week", "year"):
+        got = {r["id"]: r["sim"] for r in vec.adjacent(df, F.date_trunc(bucket, "created_at")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert vec.adjacent(df.limit(0), F.date_trunc("week", "created_at")).count() == 0
+
+
+def test_link_ends_that_are_no_memories_do_not_come_out(spark):
+    hits = spark.createDataFrame([("q", "a", 0.9, 1)], "qid string, id string, similarity double, rank int")
+    l = links(spark, [(1, "a", "gone", "semantic", 0.5), (2, "b", "a", "semantic", 0.4)])
+    none = spark.createDataFrame([], "cluster_id long, member string, avg_strength double")
+    got = search.with_graph(hits, graph.undirected(l), none, spark.createDataFrame([("a",), ("b",), ("b",)], "id string")).collect()
+    assert {(r["id"], r["source"]) for r in got} == {("a", "search"), ("b", "link")} and len(got) == 2
+
+
 # ---- graph
 
 
@@ -359,6 +428,13 @@ def test_plans(spark, sf):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     tops = ws.workspace(read(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("memory"), F.col("ts").alias("added_at")))
     assert "WindowGroupLimit" in tops._jdf.queryExecution().executedPlan().toString()
+    from engramlake.plans import queries
+
+    for name in ("knn_batch", "hybrid_search", "sharded_topk"):  # no vectors are shuffled
+        plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+        assert exchanges and not any("vector" in x for x in exchanges)
+    assert "SortAggregate" not in queries.knn_batch(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(strength)" in maintain.weak_links(l, AS_OF, params.Params())._jdf.queryExecution().executedPlan().toString()
 
 
