@@ -34,7 +34,7 @@ def vector_literal(values: list[float]) -> Column:
 
 
 def adjacent(rows: DataFrame, bucket: Column) -> DataFrame:
-    """(container_tag, id, sim) of rows(id, container_tag, created_at, vector): cosine with the row before it in the container.
+    """(container_tag, t, id, sim) of rows(id, container_tag, created_at, vector): cosine with the row before it in the container.
 
     The order is by created_at (null last), then id; rows of one id count once. Rows are ordered inside time
     buckets, so a container that holds a third of all rows is many tasks; the last row of a bucket is
@@ -50,4 +50,4 @@ def adjacent(rows: DataFrame, bucket: Column) -> DataFrame:
     c = carried.withColumnsRenamed({"container_tag": "c", "b": "cb"})
     joined = inside.join(c, F.col("container_tag").eqNullSafe(F.col("c")) & (F.col("b") == F.col("cb")))
     before = F.coalesce("before", "carried")
-    return joined.filter(before.isNotNull()).select("container_tag", "id", cosine(F.col("vector"), before).alias("sim"))
+    return joined.filter(before.isNotNull()).select("container_tag", "at.t", "id", cosine(F.col("vector"), before).alias("sim"))

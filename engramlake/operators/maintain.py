@@ -65,16 +65,17 @@ def update(memories: DataFrame, changes: DataFrame, as_of: dt.datetime) -> DataF
 
 def shingles(content: str, k: int = 5):
     """Sorted hashes of the distinct runs of k words; of all words for shorter texts."""
-    w = text.words(F.col(content))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
-    return F.array_sort(F.array_distinct(grams))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
+    grams = lambda w: F.transform(starts(w), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+    # bound to a variable, the words are not extracted again for every run
+    return F.array_sort(F.array_distinct(F.transform(F.array(text.words(F.col(content))), grams)[0]))
 
 
 def near_duplicates(memories: DataFrame, threshold: float = 0.8, k: int = 5, min_words: int = 5) -> DataFrame:
     """(container_tag, a, b), a < b: memories of one container whose k-word shingles are alike.
 
-    Exact by prefix filtering: of two sets with Jaccard >= t, each sorted, the first n - ceil(t n) + 1
-    elements share one. Texts with equal shingles are one class; each other member is paired with its
+    Exact by prefix filtering: of two sets with Jaccard >= t, each in one order, rarest first, the first
+    n - ceil(t n) + 1 elements share one. Texts with equal shingles are one class; each other member is paired with its
     smallest id only, so copies do not multiply.
     """
     copies, near = copies_and_near(memories, threshold, k, min_words)
@@ -88,16 +89,24 @@ def copies_and_near(memories: DataFrame, threshold: float = 0.8, k: int = 5, min
         .select("id", F.coalesce("container_tag", F.lit("__global__")).alias("container_tag"), shingles("content", k).alias("s"))
         .withColumns({"c1": F.xxhash64("s"), "c2": F.hash("s")})
     )
-    same = d.groupBy("container_tag", "c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("s").alias("s"))
-    same = materialise(same, "shingle-classes")
+    d = materialise(d, "shingles")  # contents are read once
+    same = materialise(d.groupBy("container_tag", "c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "shingle-classes")
     star = (
         d.select("id", "container_tag", "c1", "c2")
-        .join(same.filter("n > 1").select("container_tag", "c1", "c2", "rep"), ["container_tag", "c1", "c2"])
+        .join(same.filter("n > 1"), ["container_tag", "c1", "c2"])
         .filter("id <> rep")
         .select("container_tag", F.col("rep").alias("a"), F.col("id").alias("b"))
     )
-    first = F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(threshold) - 1e-9).cast("int") + 1)
-    key = same.select("container_tag", "rep", F.size("s").alias("n"), F.explode(first).alias("g"))
+    sets = d.join(same.select(F.col("rep").alias("id")), "id", "left_semi").select("container_tag", F.col("id").alias("rep"), "s")
+    each = sets.select("container_tag", "rep", F.size("s").alias("n"), F.explode("s").alias("g"))
+    held = each.groupBy("container_tag", "g").agg(F.count("*").alias("df")).filter("df > 1")
+    # rarest first; shingles of one text only are the rarest and meet nothing
+    shared = each.join(held, ["container_tag", "g"]).groupBy("container_tag", "rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    take = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - (F.col("n") - F.size("o"))
+    key = shared.withColumn("take", take.cast("int")).filter("take > 0").select(
+        "container_tag", "rep", "n", F.explode(F.transform(F.slice("o", F.lit(1), F.col("take")), lambda x: x["g"])).alias("g")
+    )
+    key = materialise(key, "shingle-keys")
     x, y = key.alias("x"), key.alias("y")
     cand = (
         x.join(y, (F.col("x.container_tag") == F.col("y.container_tag")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.rep") < F.col("y.rep"))
@@ -105,12 +114,10 @@ def copies_and_near(memories: DataFrame, threshold: float = 0.8, k: int = 5, min
         .select(F.col("x.container_tag").alias("container_tag"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
     )
-    cand = materialise(cand, "shingle-pairs")
-    sets = same.select("container_tag", "rep", "s")
     common = F.size(F.array_intersect("sa", "sb"))
     near = (
-        cand.join(sets.withColumnsRenamed({"rep": "a", "s": "sa"}), ["container_tag", "a"])
-        .join(sets.withColumnsRenamed({"rep": "b", "s": "sb"}), ["container_tag", "b"])
+        cand.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a")
+        .join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
         .filter(common >= F.lit(threshold) * (F.size("sa") + F.size("sb") - common) - 1e-9)
         .select("container_tag", "a", "b")
     )
@@ -139,20 +146,16 @@ def merge_leaders(memories: DataFrame, pairs: DataFrame, copies: DataFrame | Non
     e = e.join(at.withColumnsRenamed({"id": "a", "o": "oa"}), "a").join(at.withColumnsRenamed({"id": "b", "o": "ob"}), "b")
     # b is earlier than a
     e = materialise(e.filter("ob < oa").select("a", "b", "oa", "ob"), "merge-edges")
-    left = materialise(e.select(F.col("a").alias("id")).union(e.select("b")).distinct(), "merge-left")
-    leaders = absorbed = None
-    while not left.isEmpty():
-        live = e.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
-        lead = materialise(left.join(live.select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "merge-lead")
-        took = (
-            live.join(lead.withColumnRenamed("id", "b"), "b", "left_semi")
-            .groupBy("a").agg(F.min("ob").alias("o")).select(F.col("o.id").alias("leader"), F.col("a").alias("member"))
-        )
+    absorbed = None
+    while not e.isEmpty():
+        # b without an earlier neighbour leads; of the leaders next to a the earliest one absorbs it
+        lead = e.select("b").distinct().join(e.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+        took = e.join(lead, "b", "left_semi").groupBy("a").agg(F.min("ob").alias("o")).select(F.col("o.id").alias("leader"), F.col("a").alias("member"))
         took = materialise(took, "merge-took")
-        leaders = lead if leaders is None else leaders.unionByName(lead)
         absorbed = took if absorbed is None else absorbed.unionByName(took)
-        gone = lead.unionByName(took.select(F.col("member").alias("id")))
-        left = materialise(left.join(gone, "id", "left_anti"), "merge-left")
+        gone = took.select("member")
+        e = e.join(gone.withColumnRenamed("member", "a"), "a", "left_anti").join(gone.withColumnRenamed("member", "b"), "b", "left_anti")
+        e = materialise(e, "merge-edges")
     if absorbed is None:
         absorbed = pairs.select(F.col("a").alias("leader"), F.col("b").alias("member")).limit(0)
     if copies is None:
@@ -172,6 +175,61 @@ def merged(memories: DataFrame, leaders: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def merged_contents(memories: DataFrame, leaders: DataFrame, part: int = 1000) -> DataFrame:
+    """(leader, part_no, n_members, content): the contents of a leader and its members, oldest first, joined by blank lines.
+
+    The parts of one leader in order are its new content; a part holds at most `part` contents, so that copies
+    which make up a third of all rows are not one string in one task. A null content counts as empty.
+    """
+    from ..sources.store import shard_rotation
+
+    own = leaders.select("leader").distinct().select("leader", F.col("leader").alias("id"))
+    m = leaders.select("leader", F.col("member").alias("id")).unionByName(own).join(memories.select("id", "created_at", "content"), "id")
+    m = materialise(m, "merge-contents")
+    parts = shard_rotation(m.withColumnRenamed("leader", "container_tag"), part).select("id", F.col("shard_index").alias("part_no"))
+    at = F.coalesce(F.unix_micros("created_at"), F.lit(2**62).cast("long"))
+    c = m.join(parts, "id").groupBy("leader", "part_no").agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), "id", F.coalesce("content", F.lit("")).alias("content")))).alias("c"))
+    return c.select("leader", "part_no", F.size("c").alias("n_members"), F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("content"))
+
+
+def touched(memories: DataFrame, accessed: DataFrame, as_of: dt.datetime, p: Params) -> DataFrame:
+    """memories with stability reinforced and last_accessed_at set for those of accessed(id); unknown ids do nothing."""
+    hit = F.coalesce("hit_", F.lit(False))
+    days = decay.days_between(lit_ts(as_of), F.coalesce("last_accessed_at", "created_at"))
+    s = F.coalesce("stability", F.lit(p.initial_stability))
+    new = {"stability": decay.reinforced(s, decay.retrievability(days, s, p), p), "last_accessed_at": lit_ts(as_of)}
+    m = memories.join(accessed.select("id", F.lit(True).alias("hit_")).dropDuplicates(["id"]), "id", "left")
+    return m.select(*[F.when(hit, new[x]).otherwise(F.col(x)).alias(x) if x in new else F.col(x) for x in memories.columns])
+
+
+def consolidate(memories: DataFrame, links: DataFrame, clusters: DataFrame, as_of: dt.datetime, p: Params) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One run over all: (memories, links, new clusters, report) after pruning, merging, link pruning and clustering.
+
+    memories(id, content, container_tag, type, tier, created_at, last_accessed_at, stability), one row per id;
+    clusters(cluster_id, member) as stored. Leaders get the largest stability of their group; their joined
+    texts are merged_contents(). report(pruned, merged, links_pruned, expired, clusters_found) is one row.
+    """
+    pruned = materialise(prunable(memories, links, as_of, p).select("id"), "run-pruned")
+    left, l = delete(memories, links, pruned)
+    left = materialise(left, "run-memories")
+    copies, near = (materialise(x, "run-near") for x in copies_and_near(left))
+    leaders = materialise(merge_leaders(left, near, copies), "run-leaders")
+    gone = leaders.select(F.col("member").alias("id"))
+    stab = merged(left, leaders, p).select(F.col("leader").alias("id"), F.col("stability").alias("s_"))
+    kept = left.join(gone, "id", "left_anti").join(stab, "id", "left").withColumn("stability", F.coalesce("s_", "stability")).drop("s_")
+    weak = materialise(weak_links(l, as_of, p).select("id"), "run-weak")
+    l = l.join(weak, "id", "left_anti")
+    dead = materialise(expired(kept, as_of, p), "run-expired")
+    kept, l = delete(kept, l, dead)
+    moved = materialise(redirect(l, leaders), "run-links")
+    found = materialise(graph.new_clusters(graph.link_clusters(moved), clusters), "run-clusters")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    report = one(pruned, "pruned")
+    for df, name in ((leaders, "merged"), (weak, "links_pruned"), (dead, "expired"), (found, "clusters_found")):
+        report = report.crossJoin(one(df, name))  # one row each
+    return kept.select(memories.columns), moved, found, report
+
+
 def redirect(links: DataFrame, leaders: DataFrame) -> DataFrame:
     """(source_id, target_id, link_type, strength): links moved to the leaders; each once, none to oneself."""
     m = leaders.select("leader", "member")

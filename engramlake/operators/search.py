@@ -134,7 +134,7 @@ def nearest(rows: DataFrame, queries: DataFrame, field: str, dim: int, k: int, w
 
         found = q2.groupBy("block", "part").cogroup(r2.groupBy("block", "part")).applyInPandas(meet, HITS)
     w = Window.partitionBy("qid", *(["grp"] if by else [])).orderBy(F.desc("sim"), "id")
-    one = found.repartition("qid").groupBy("qid", "grp", "id").agg(F.max("sim").alias("sim"))  # a repeated id may lie in two tasks
+    one = found.repartition("qid").groupBy("qid", "grp", "id").agg(F.round(F.max("sim"), 12).alias("sim"))  # a repeated id may lie in two tasks; copies tie
     return one.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -265,10 +265,24 @@ ORACLES = {
  SELECT user_id AS session, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + 1800000000 AS end_us, count(*) AS n_events FROM n GROUP BY user_id, s""",
     "dedup_on_add": f"SELECT qid, id, round(sim, 6) AS sim, sim >= 0.75 AS skip FROM ({incoming(1)})",
     "auto_link_on_add": f"SELECT qid, id, round(sim, 6) AS strength FROM ({incoming(3)}) WHERE sim >= 0.5",
-    "auto_link_candidates": f"""WITH {MEM}, {Q}, {unit("qu", "q", "vector", 96)}, {unit("mu", "mem", "vector", 96)}, {U},
- s AS (SELECT a.id AS qid, b.id AS id, {COS} AS sim FROM qu a CROSS JOIN mu b),
- r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS k FROM s),
- c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS n FROM r WHERE k <= 8 AND id <> qid AND sim >= 0.499
-   AND NOT EXISTS (SELECT 1 FROM u WHERE u.node = r.qid AND u.neighbor = r.id))
- SELECT qid, id, round(sim, 6) AS strength FROM c WHERE n <= 3""",
+    "auto_link_candidates": hybrid(k=8) + f""", {U},
+ c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM hits h WHERE id <> qid AND similarity >= 0.499
+   AND NOT EXISTS (SELECT 1 FROM u WHERE u.node = h.qid AND u.neighbor = h.id)), a AS (SELECT * FROM c WHERE n <= 3)
+ SELECT qid, id, round(similarity, 6) AS strength FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.qid = a.id AND b.id = a.qid AND b.qid < a.qid)""",
+    "list_page": f"""WITH {MEM} SELECT id, sha256(coalesce(content, '')) AS content_hash, coalesce(tags, '') AS tags, coalesce(tier, 'neocortex') AS tier,
+ coalesce(stability, 1.0) AS stability, epoch_us(created_at) AS created_us, (SELECT count(*) FROM mem) AS total FROM mem ORDER BY created_at DESC NULLS LAST, id LIMIT 100""",
+    "memory_lookup": f"""WITH {MEM}, r AS (SELECT id, (row_number() OVER (PARTITION BY container_tag ORDER BY created_at NULLS LAST, id) - 1) // 100 AS shard_index FROM mem)
+ SELECT mem.id, sha256(coalesce(content, '')) AS content_hash, container_tag, {SCOPE}, shard_index FROM mem JOIN r ON r.id = mem.id
+ WHERE mem.id IN (SELECT target_id FROM links WHERE id % 50 = 0)""",
+    "metadata_typed": f"""WITH {MEM}, t AS (SELECT id, CASE WHEN json_valid(metadata) THEN metadata END AS j FROM mem),
+ v AS (SELECT id, json_extract_string(j, '$.sessionID') AS s, json_extract_string(j, '$.sourceFile') AS f, json_extract_string(j, '$.turn') AS t FROM t)
+ SELECT id, s AS "sessionID", f AS "sourceFile", TRY_CAST(t AS INTEGER) AS turn FROM v WHERE s IS NOT NULL OR f IS NOT NULL OR t IS NOT NULL""",
+    "vector_dimensions": "SELECT container_tag, CAST(len(vector) AS INTEGER) AS dimensions, count(DISTINCT id) AS n FROM memories WHERE vector IS NOT NULL AND len(vector) <> 96 GROUP BY 1, 2",
+    "stability_write_back": f"""WITH {MEM}, x AS (SELECT source_id AS id FROM links WHERE id % 50 = 0), r AS (SELECT *, {R} AS r FROM mem)
+ SELECT id, round(CASE WHEN id IN (SELECT id FROM x) THEN coalesce(stability, 1.0) * (1 + 0.3 * (1 - r)) ELSE stability END, 6) AS stability,
+  epoch_us(CASE WHEN id IN (SELECT id FROM x) THEN {AS_OF} ELSE last_accessed_at END) AS accessed_us FROM r""",
+    "slice_means": ADJACENT.replace("SELECT container_tag, list_dot", "SELECT container_tag, row_number() OVER (PARTITION BY container_tag ORDER BY created_at, id) AS k, list_dot") + """,
+ m AS (SELECT container_tag, CASE WHEN k <= 4 THEN 'first' WHEN k BETWEEN 6 AND 8 THEN 'second' WHEN k BETWEEN 10 AND 12 THEN 'third' END AS slice, avg(sim) AS mean
+   FROM s WHERE k <= 4 OR k BETWEEN 6 AND 8 OR k BETWEEN 10 AND 12 GROUP BY 1, 2)
+ SELECT container_tag, slice, round(mean, 6) AS mean, round(greatest(0.1, floor((min(mean) OVER (PARTITION BY container_tag) - 0.1) * 100 + 0.5) / 100), 6) AS threshold FROM m""",
 }

@@ -47,6 +47,42 @@ def list_by_container(spark, d):
     return m.filter("rank <= 20").select("container_tag", "id", "rank")
 
 
+def list_page(spark, d):
+    """The newest 100 with the six columns of a listing, and how many there are in all."""
+    m = memories(spark, d, "id", "content", "tags", "tier", "stability", "created_at")
+    page = m.orderBy(F.desc("created_at"), "id").limit(100)
+    return page.crossJoin(F.broadcast(m.agg(F.count("*").alias("total")))).select(
+        "id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), F.coalesce("tags", F.lit("")).alias("tags"),
+        F.coalesce("tier", F.lit("neocortex")).alias("tier"), F.coalesce("stability", F.lit(P.initial_stability)).alias("stability"),
+        micros("created_at").alias("created_us"), "total",
+    )
+
+
+def memory_lookup(spark, d):
+    """Stated ids in the store: content, container and the shard that holds each."""
+    ids = read(spark, d, "links").filter("id % 50 = 0").select(F.col("target_id").alias("id"))
+    found = store.located(memories(spark, d, "id", "content", "container_tag", "created_at"), ids, 100)
+    return found.select("id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), "container_tag", "scope", "scope_hash", "shard_index")
+
+
+def metadata_typed(spark, d):
+    """Key and value rows of the metadata as one typed row per memory."""
+    m = memories(spark, d, "id", "metadata")
+    return store.typed_rows(store.key_values(m, "metadata"), "id", {"sessionID": "string", "sourceFile": "string", "turn": "int"})
+
+
+def vector_dimensions(spark, d):
+    """Stored vectors that a write shard of 96 dimensions refuses, by container."""
+    m = read(spark, d, "memories").select("id", "container_tag", "vector")
+    return store.refused(m, 96).groupBy("container_tag", "dimensions").agg(F.countDistinct("id").alias("n"))
+
+
+def stability_write_back(spark, d):
+    ids = read(spark, d, "links").filter("id % 50 = 0").select(F.col("source_id").alias("id"))
+    t = maintain.touched(memories(spark, d, "id", "stability", "created_at", "last_accessed_at"), ids, AS_OF, P)
+    return t.select("id", r6("stability").alias("stability"), micros("last_accessed_at").alias("accessed_us"))
+
+
 def memory_hydrated(spark, d):
     m = memories(spark, d, "id", "container_tag", "tags", "created_at", "is_pinned", "stability", "last_accessed_at", "tier")
     return m.select(
@@ -279,6 +315,16 @@ def merge_redirect(spark, d):
     return maintain.redirect(read(spark, d, "links"), _leaders(spark, d)).withColumn("strength", r6("strength"))
 
 
+def merge_contents(spark, d):
+    c = maintain.merged_contents(memories(spark, d, "id", "content", "created_at"), _leaders(spark, d))
+    return c.select("leader", "part_no", "n_members", F.sha2("content", 256).alias("content_hash"))
+
+
+def consolidation_report(spark, d):
+    m = memories(spark, d, "id", "content", "container_tag", "type", "tier", "created_at", "last_accessed_at", "stability")
+    return maintain.consolidate(m, read(spark, d, "links"), graph.stored_members(read(spark, d, "clusters")), AS_OF, P)[3]
+
+
 def trivial_rewire(spark, d):
     gone = memories(spark, d, "id", "content").filter(text.is_trivial(F.col("content"))).select("id")
     return maintain.rewire(read(spark, d, "links"), gone)
@@ -350,6 +396,16 @@ def adjacent_similarity(spark, d):
     )
 
 
+def slice_means(spark, d):
+    """Mean similarity of neighbours 1-4, 6-8 and 10-12 of each container, and the threshold that the lowest of them suggests."""
+    s = _adjacent(spark, d).withColumn("at", F.row_number().over(Window.partitionBy("container_tag").orderBy("t", "id"))).filter("at <= 12")
+    cut = F.when(F.col("at") <= 4, "first").when(F.col("at").between(6, 8), "second").when(F.col("at").between(10, 12), "third")
+    m = s.withColumn("slice", cut).filter("slice is not null").groupBy("container_tag", "slice").agg(F.avg("sim").alias("mean"))
+    low = m.groupBy("container_tag").agg(F.min("mean").alias("low")).withColumnRenamed("container_tag", "c")
+    least = F.greatest(F.lit(0.1), F.floor((F.col("low") - 0.1) * 100 + 0.5) / 100)
+    return m.join(low, F.col("container_tag").eqNullSafe(F.col("c"))).select("container_tag", "slice", r6("mean").alias("mean"), r6(least).alias("threshold"))
+
+
 def similarity_histogram(spark, d):
     s = _adjacent(spark, d).filter("sim >= 0").groupBy(F.least(F.floor(F.col("sim") * 10), F.lit(9)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     return spark.range(10).select(F.col("id").cast("int").alias("bucket")).join(s, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
@@ -384,22 +440,24 @@ def auto_link_on_add(spark, d):
 
 
 def auto_link_candidates(spark, d):
-    """New semantic links of the stated queries: the most similar others that they are not linked to yet."""
-    h = search.nearest(read(spark, d, "memories"), stated_queries(spark, d), "vector", 96, P.auto_link_max_connections + 5)
+    """New semantic links of the stated queries by the scored search: of the best others those not linked yet, each pair once."""
+    h = _hits(spark, d, k=P.auto_link_max_connections + 5)
     have = graph.undirected(read(spark, d, "links")).select(F.col("node").alias("qid"), F.col("neighbor").alias("id"))
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "id")
-    new = h.filter(F.col("id") != F.col("qid")).filter(F.col("sim") >= P.auto_link_similarity_threshold - 0.001)
+    w = Window.partitionBy("qid").orderBy("rank")
+    new = h.filter(F.col("id") != F.col("qid")).filter(F.col("similarity") >= P.auto_link_similarity_threshold - 0.001)
     new = new.join(have, ["qid", "id"], "left_anti").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= P.auto_link_max_connections)
-    return new.select("qid", "id", r6("sim").alias("strength"))
+    # of a pair that both ends propose the smaller one's link is made first, and the other finds it there
+    back = new.select(F.col("qid").alias("id"), F.col("id").alias("qid"))
+    return new.join(back.filter("qid > id"), ["qid", "id"], "left_anti").select("qid", "id", r6("similarity").alias("strength"))
 
 
-NAMES = """list_recent list_by_container memory_hydrated memories_by_session tags_normalised tag_counts trivial_memories
+NAMES = """list_recent list_page memory_lookup metadata_typed vector_dimensions stability_write_back list_by_container memory_hydrated memories_by_session tags_normalised tag_counts trivial_memories
 container_counts keyword_hits sentence_counts detected_languages knn_batch knn_tags knn_approximate hybrid_search hybrid_search_no_decay
 hybrid_search_container_post hybrid_search_container_pre sharded_topk graph_search hebbian_delta neighbors
 neighbors_strong_semantic degree_audit link_upsert_ignore link_strengthen link_remove_typed link_remove_both bfs_paths
 link_clusters cluster_strengths new_clusters clusters_for_memory retrievability stability_fold prune_memories prune_links
-ttl_expired expire_cascade near_dup_classes merge_leaders merge_rewrite merge_redirect trivial_rewire replay_groups
+ttl_expired expire_cascade near_dup_classes merge_leaders merge_rewrite merge_contents merge_redirect consolidation_report trivial_rewire replay_groups
 synthesis_inputs synthesis_links shard_rotation shard_catalog active_shards discovered_shards delete_batch sync_paths sync_scope front_matter adjacent_similarity
-similarity_histogram workspace_top5 session_activity dedup_on_add auto_link_on_add auto_link_candidates""".split()
+similarity_histogram slice_means workspace_top5 session_activity dedup_on_add auto_link_on_add auto_link_candidates""".split()
 
 QUERIES = {n: globals()[n] for n in NAMES}

@@ -107,3 +107,39 @@ def counted(shards: DataFrame, memories: DataFrame) -> DataFrame:
     return stated.join(held, ["scope", "scope_hash"], "full").select(
         "scope", "scope_hash", F.coalesce("stated", F.lit(0)).alias("stated"), F.coalesce("held", F.lit(0)).alias("held")
     )
+
+
+def located(memories: DataFrame, ids: DataFrame, capacity: int) -> DataFrame:
+    """Rows of memories of ids(id) with scope, scope_hash and the shard_index that holds each; unknown ids give no row."""
+    want = ids.select("id").distinct()
+    at = shard_rotation(memories, capacity).select("id", "shard_index").join(want, "id", "left_semi")
+    return memories.join(want, "id", "left_semi").join(at, "id").withColumns(scope_of(F.col("container_tag")))
+
+
+def key_values(rows: DataFrame, column: str) -> DataFrame:
+    """(id, key, value) of a JSON object column, values as text; cut-off JSON and null values give no rows."""
+    pairs = F.explode(F.from_json(column, "map<string, string>", {"mode": "PERMISSIVE"}))
+    whole = F.try_parse_json(column).isNotNull()
+    return rows.filter(whole).select("id", pairs).filter("value is not null")
+
+
+def typed_rows(pairs: DataFrame, by: str, types: dict[str, str]) -> DataFrame:
+    """One row for each value of `by` that has a wanted key: pairs(by, key, value) as columns of the types given.
+
+    A missing key, and a value that is not of the type, is null; of repeated keys the smallest value counts.
+    """
+    wide = pairs.filter(F.col("key").isin(*types)).groupBy(by).pivot("key", list(types)).agg(F.min("value"))
+    return wide.select(by, *[F.expr(f"try_cast(`{k}` as {t})").alias(k) for k, t in types.items()])
+
+
+def check_shard(metadata: dict, model: str, dimensions: int) -> None:
+    """Raises if a shard was made for another embedding model or number of dimensions; missing entries are no conflict."""
+    for key, want in (("embedding_model", model), ("embedding_dimensions", dimensions)):
+        if metadata.get(key) not in (None, "", want, str(want)):
+            raise ValueError(f"the shard has {key} {metadata[key]}, not {want}")
+
+
+def refused(memories: DataFrame, dimensions: int) -> DataFrame:
+    """Rows whose vector has another number of dimensions, with that number; null vectors are no conflict."""
+    n = F.size("vector")
+    return memories.filter(F.col("vector").isNotNull() & (n != dimensions)).withColumn("dimensions", n)

@@ -329,9 +329,48 @@ def test_prune_expire_and_rewire(spark):
     assert {(r["source_id"], r["target_id"]) for r in moved} == {("b", "e"), ("c", "a"), ("c", "e")}
 
 
+def test_contents_are_joined_in_parts(spark):
+    m = memory_rows(spark, [mem(f"m{i:02d}", f"t{i}" if i else None, age=50 - i) for i in range(9)])
+    lead = spark.createDataFrame([("m00", f"m{i:02d}") for i in range(1, 7)] + [("m07", "m08")], "leader string, member string")
+    got = {(r["leader"], r["part_no"]): (r["n_members"], r["content"]) for r in maintain.merged_contents(m, lead, 5).collect()}
+    assert got == {("m00", 0): (5, "\n\nt1\n\nt2\n\nt3\n\nt4"), ("m00", 1): (2, "t5\n\nt6"), ("m07", 0): (2, "t7\n\nt8")}
+    assert maintain.merged_contents(m, lead.limit(0)).count() == 0
+
+
+def test_consolidation_run(spark):
+    long = " ".join(f"w{i}" for i in range(20))
+    m = memory_rows(spark, [mem("a", long, age=9, s=1e6), mem("b", long, age=8, s=2e6), mem("c", "forgotten", age=900), mem("d", "ephemeral", age=30, s=1e6, tier="hippocampus"),
+                            mem("e", "x", s=1e6), mem("f", "y", s=1e6), mem("g", "z", s=1e6)])
+    l = links(spark, [(1, "b", "e", "semantic", 0.9), (2, "e", "f", "semantic", 0.8), (3, "f", "g", "semantic", 0.05), (4, "d", "g", "related", 0.9)])
+    held = spark.createDataFrame([], "cluster_id long, member string")
+    kept, moved, found, report = maintain.consolidate(m.drop("metadata", "tags"), l, held, AS_OF, params.Params(prune_retrievability_floor=0.5))
+    assert tuple(report.first()) == (1, 1, 1, 1, 1)
+    assert {r["id"]: r["stability"] for r in kept.collect()} == {"a": 2e6, "e": 1e6, "f": 1e6, "g": 1e6}
+    assert {(r["source_id"], r["target_id"]) for r in moved.collect()} == {("a", "e"), ("e", "f")} and found.count() == 1
+
+
+def test_touched_memories(spark):
+    m = memory_rows(spark, [mem("a", "x", age=4), mem("b", "y", age=4)])
+    got = {r["id"]: r for r in maintain.touched(m, spark.createDataFrame([("a",), ("a",), ("zz",)], "id string"), AS_OF, params.Params()).collect()}
+    assert got["a"]["stability"] > 1.0 and got["a"]["last_accessed_at"] is not None and got["b"]["stability"] == 1.0 and got["b"]["last_accessed_at"] is None
+
+
 # ---- sources
 
 
+def test_typed_metadata_and_guards(spark):
+    m = spark.createDataFrame([("a", '{"embedding_model": "m", "embedding_dimensions": "96", "x": 1}'), ("b", '{"embedding_dimensions": "many"}'), ("c", '{"x": '), ("d", None)], "id string, j string")
+    got = {r["id"]: (r["embedding_model"], r["embedding_dimensions"]) for r in store.typed_rows(store.key_values(m, "j"), "id", {"embedding_model": "string", "embedding_dimensions": "int"}).collect()}
+    assert got == {"a": ("m", 96), "b": (None, None)}
+    store.check_shard({"embedding_model": "m", "embedding_dimensions": 96}, "m", 96)
+    store.check_shard({}, "m", 96)
+    for bad in ({"embedding_model": "n"}, {"embedding_dimensions": 3}):
+        with pytest.raises(ValueError):
+            store.check_shard(bad, "m", 96)
+    v = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0]), ("c", None)], "id string, vector array<float>")
+    assert [(r["id"], r["dimensions"]) for r in store.refused(v, 2).collect()] == [("a", 1)]
+
+
 def test_rotation_and_scope(spark):
     m = memory_rows(spark, [mem(f"m{i:03d}", "x", c="note_project_ab_cd" if i % 3 else "plain", age=i % 11) for i in range(100)])
     got = store.shard_rotation(m, 10).groupBy("container_tag", "shard_index").count().collect()
