@@ -1,10 +1,10 @@
 """Best representative of each duplicate group.
 
-Two results. `survivors` ranks the members of each group and takes, field by field, the value of the
-best ranked member that has one. `current_values` reasons about currency: where members carry
-timestamps, the values that one group held earlier and later teach which value tends to follow
-which; in a group whose timestamps are missing, the values that no other value of the group follows
-are the latest, and of those the most frequent is taken.
+`survivors` ranks the members of each group and takes, field by field, the value of the best ranked
+member that has one; TESTDATA.md fixes that ranking. `current_values` reasons about currency: the values
+that groups held earlier and later teach which value tends to follow which, and the steps are closed
+transitively. Values of a group that carry timestamps are ordered by them, all others by what was learnt;
+what no value of the group follows is latest. `records` puts both together: one record a group.
 
 Everything is aggregated with map-side partial results, so a group that holds a third of all rows
 is never gathered in one task.
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialise
 from ..tables import lit_ts
 
 
@@ -86,11 +87,25 @@ def value_precedence(held: DataFrame) -> DataFrame:
     return steps.join(back, ["before", "after"], "left").filter("m is null or n > m").select("before", "after", "n")
 
 
+def closed(steps: DataFrame) -> DataFrame:
+    """(before, after) of the transitive closure of steps(before, after), by doubling; values of one cycle do not precede each other."""
+    reach = materialise(steps.select("before", "after").distinct(), "p5-reach")
+    n, known = reach.count(), -1
+    while n != known:
+        further = reach.select("before", F.col("after").alias("via")).join(reach.select(F.col("before").alias("via"), "after"), "via")
+        reach = materialise(reach.unionByName(further.select("before", "after")).distinct(), "p5-reach")
+        n, known = reach.count(), n
+    back = reach.select(F.col("after").alias("before"), F.col("before").alias("after"))
+    return reach.join(back, ["before", "after"], "left_anti")
+
+
 def current_values(groups: DataFrame, memories: DataFrame, field: str, as_of: dt.datetime) -> DataFrame:
     """(group_id, value, n_rows, dated) of a categorical field: the value that is current in each group.
 
-    With timestamps the value held last wins (ties: larger count, then smaller value). Without any, the
-    topologically latest value of the group's partial order under value_precedence.
+    Of two dated values the one held last is later; of two others the one that comes later in the closed
+    value_precedence. Among the values that none of the group is later than (all of them, should they go
+    in a circle), dated ones come first, then the one held last, the more frequent, the smaller one. dated:
+    whether the value that comes out has a date.
     """
     value = F.lower(F.trim(field))
     m = _members(groups, memories, field, "updated_at").filter(F.length(value) > 0)
@@ -101,26 +116,33 @@ def current_values(groups: DataFrame, memories: DataFrame, field: str, as_of: dt
         .groupBy("group_id", "value")
         .agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("n_rows"))
     )
-    dated = held.groupBy("group_id").agg((F.max("last_at").isNotNull()).alias("dated"))
-    order = value_precedence(held).select(F.col("before").alias("value"), "after")
-    later = (
-        held.join(order, "value")
-        .select("group_id", "value", "after")
-        .join(held.select("group_id", F.col("value").alias("after")), ["group_id", "after"], "left_semi")
-        .select("group_id", "value")
-        .distinct()
-        .withColumn("followed", F.lit(True))
+    held = materialise(held, "p5-held")
+    order = closed(value_precedence(held)).select(F.col("before").alias("value"), "after")
+    other = held.select("group_id", F.col("value").alias("after"), F.col("last_at").alias("other_at"))
+    learnt = (
+        held.join(order, "value").join(other, ["group_id", "after"])
+        .filter("last_at is null or other_at is null")
+        .select("group_id", "value").distinct().withColumn("learnt", F.lit(True))
     )
-    pick = held.join(dated, "group_id").join(later, ["group_id", "value"], "left")
+    top = held.groupBy("group_id").agg(F.max("last_at").alias("top"))
+    followed = F.coalesce("learnt", F.lit(False)) | F.coalesce(F.col("last_at") < F.col("top"), F.lit(False))
     rank = F.struct(
-        F.when(F.col("dated"), -F.unix_micros("last_at")).otherwise(F.lit(0)).isNull().alias("undated"),
-        F.when(F.col("dated"), -F.unix_micros("last_at")).otherwise(F.coalesce("followed", F.lit(False)).cast("long")).alias("late"),
+        followed.alias("followed"),
+        F.col("last_at").isNull().alias("undated"),
+        (-F.unix_micros("last_at")).alias("age"),
         (-F.col("n_rows")).alias("few"),
         F.col("value").alias("value"),
-        F.col("dated").alias("dated"),
     )
     return (
-        pick.groupBy("group_id")
-        .agg(F.min(rank).alias("r"))
-        .select("group_id", F.col("r.value").alias("value"), (-F.col("r.few")).alias("n_rows"), F.col("r.dated").alias("dated"))
+        held.join(top, "group_id").join(learnt, ["group_id", "value"], "left")
+        .groupBy("group_id").agg(F.min(rank).alias("r"))
+        .select("group_id", F.col("r.value").alias("value"), (-F.col("r.few")).alias("n_rows"), (~F.col("r.undated")).alias("dated"))
     )
+
+
+def records(groups: DataFrame, memories: DataFrame, fields: list[str], as_of: dt.datetime) -> DataFrame:
+    """survivors() with the current value of each of `fields`, null where no member has one."""
+    out = survivors(groups, memories, as_of)
+    for f in fields:
+        out = out.join(current_values(groups, memories, f, as_of).select("group_id", F.col("value").alias(f)), "group_id", "left")
+    return out

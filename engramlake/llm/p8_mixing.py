@@ -6,8 +6,8 @@ of a source are put into a pseudo-random order; the tokens before a document, di
 demand, are the integral at which it is due, and the inverted integral gives its training position.
 Sorting all documents by position by range gives the mix.
 
-Cumulative tokens within a source are sums over hash buckets plus a running sum inside one bucket, so a
-source that holds a third of all rows is spread over all buckets.
+Cumulative tokens within a source are sums over ranges of the hash plus a running sum inside one range, so a
+source that holds a third of all rows is spread over many; their number grows with the rows.
 
 A source contributes min(target share x budget, repeats x its tokens); the document that crosses the
 demand is kept whole. Edge cases: null max_repeats is 1, a negative one 0; source names are trimmed and
@@ -26,8 +26,8 @@ from ..session import materialise
 from ..tables import clean
 from .common import token_count
 
-#: Knots (t, weight) of sources without a schedule of their own: an even supply.
-EVEN = ((0.0, 1.0), (1.0, 1.0))
+#: Documents that one range of the hash should hold.
+RANGE = 50_000
 
 
 def sizes(documents: DataFrame) -> DataFrame:
@@ -60,11 +60,11 @@ def plan(docs: DataFrame, targets: DataFrame, budget: int | None = None) -> Data
     )
 
 
-def _segments(spark: SparkSession, sources: list[str], schedules: dict) -> DataFrame:
-    """Per source the pieces of its integrated schedule: from (t0, area a0) with weight w0 and slope."""
+def _segments(spark: SparkSession, schedules: dict) -> DataFrame:
+    """For each source with a schedule the pieces of its integrated schedule: from (t0, area a0) with weight w0 and slope."""
     rows = []
-    for s in sources:
-        knots = sorted((float(t), float(w)) for t, w in schedules.get(s, EVEN))
+    for s, points in schedules.items():
+        knots = sorted((float(t), float(w)) for t, w in points)
         area = [0.0]
         for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
             area.append(area[-1] + (t1 - t0) * (w0 + w1) / 2)
@@ -77,64 +77,51 @@ def _segments(spark: SparkSession, sources: list[str], schedules: dict) -> DataF
     return spark.createDataFrame(rows, "source string, t0 double, w0 double, slope double, a0 double, a1 double")
 
 
-def mix(
-    documents: DataFrame,
-    targets: DataFrame,
-    budget: int | None = None,
-    schedules: dict | None = None,
-    buckets: int = 256,
-    seed: int = 0,
-) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, schedules: dict | None = None, seed: int = 0) -> DataFrame:
     """(source, doc_id, repeat_no, n_tokens, position), range-sorted by position in [0, 1).
 
-    schedules: source -> ((t, weight), ...) with t from 0 to 1. Targets are a list of sources, not data:
-    their number is checked to be at most 10,000 before it is used for schedules and broadcast.
+    schedules: source -> ((t, weight), ...) with t from 0 to 1; all other sources are supplied evenly.
     """
-    return mix_sizes(sizes(documents), targets, budget, schedules, buckets, seed)
+    return mix_sizes(sizes(documents), targets, budget, schedules, seed).orderBy("position", "source", "doc_id", "repeat_no")
 
 
-def mix_sizes(
-    docs: DataFrame, targets: DataFrame, budget: int | None, schedules: dict | None, buckets: int = 256, seed: int = 0
-) -> DataFrame:
-    """mix() over sizes."""
-    spark = docs.sparkSession
+def mix_sizes(docs: DataFrame, targets: DataFrame, budget: int | None, schedules: dict | None, seed: int = 0) -> DataFrame:
+    """mix() over sizes, not sorted."""
     p = plan(docs, targets, budget).filter("demand > 0 and supply > 0")
-    names = [r["source"] for r in targets.select(clean(F.col("source")).alias("source")).distinct().limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("more than 10,000 target sources")
     p = p.withColumn("laps", F.least(F.col("repeats"), F.ceil(F.col("demand") / F.col("source_tokens"))))
+    h = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("doc_id").cast("string")))
+    ranges = max(16, -(-docs.count() // RANGE))
     d = (
         docs.filter("n_tokens > 0")
-        .join(F.broadcast(p.select("source", "source_tokens", "demand", "supply", "laps")), "source")
-        .withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-        .withColumn("bucket", F.pmod("h", F.lit(buckets)))
+        .join(p.select("source", "source_tokens", "demand", "supply", "laps"), "source")
+        .withColumn("h", h)
+        .withColumn("range", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2**32 * ranges).cast("int"))
     )
-    sums = d.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
+    sums = d.groupBy("source", "range").agg(F.sum("n_tokens").alias("t"))
     before = sums.select(
-        "source", "bucket", (F.sum("t").over(Window.partitionBy("source").orderBy("bucket")) - F.col("t")).alias("before")
-    )  # at most buckets rows a source
-    inner = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        "source", "range", (F.sum("t").over(Window.partitionBy("source").orderBy("range")) - F.col("t")).alias("before")
+    )  # at most `ranges` rows a source
+    inner = Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at = (
         d.withColumn("own", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-        .join(F.broadcast(before), ["source", "bucket"])
+        .join(before, ["source", "range"])
         .withColumn("repeat_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("laps").cast("long") - 1)))
         .withColumn("start", F.col("repeat_no") * F.col("source_tokens") + F.col("before") + F.col("own"))
         .filter(F.col("start") < F.col("demand"))
         .withColumn("u", F.col("start") / F.least("demand", F.col("supply").cast("double")))
     )
-    seg = F.broadcast(_segments(spark, names or [""], schedules or {}))
-    due = at.join(seg, "source").filter("u >= a0 and u < a1")
+    seg = _segments(docs.sparkSession, schedules or {}).withColumnRenamed("source", "s")  # as many rows as the schedules have knots
+    due = at.join(F.broadcast(seg), (F.col("source") == F.col("s")) & (F.col("u") >= F.col("a0")) & (F.col("u") < F.col("a1")), "left")
     rest = F.col("u") - F.col("a0")
     # w0 x + slope x^2 / 2 = rest, in the form that is stable for small slopes
     root = F.sqrt(F.greatest(F.col("w0") * F.col("w0") + 2 * F.col("slope") * rest, F.lit(0.0)))
     x = F.when(F.col("w0") + root > 0, 2 * rest / (F.col("w0") + root)).otherwise(0.0)
-    return due.select("source", "doc_id", "repeat_no", "n_tokens", (F.col("t0") + x).alias("position")).orderBy(
-        "position", "source", "doc_id", "repeat_no"
-    )
+    position = F.when(F.col("s").isNull(), F.col("u")).otherwise(F.col("t0") + x)
+    return due.select("source", "doc_id", "repeat_no", "n_tokens", position.alias("position"))
 
 
 def shares(documents: DataFrame, targets: DataFrame, budget: int | None = None, schedules: dict | None = None) -> DataFrame:
-    """(source, target_share, actual_share, demand, mixed_tokens, docs, most_repeats, short), from the mix itself."""
+    """(source, target_share, actual_share, demand, mixed_tokens, docs, most_repeats, mean_position, short), from the mix itself."""
     docs = sizes(documents)
     got = (
         mix_sizes(docs, targets, budget, schedules)
@@ -143,6 +130,7 @@ def shares(documents: DataFrame, targets: DataFrame, budget: int | None = None,
             F.sum("n_tokens").alias("mixed_tokens"),
             F.count("*").alias("docs"),
             (F.max("repeat_no") + 1).alias("most_repeats"),
+            (F.sum(F.col("position") * F.col("n_tokens")) / F.sum("n_tokens")).alias("mean_position"),
         )
     )
     out = plan(docs, targets, budget).join(got, "source", "left").fillna(0, ["mixed_tokens", "docs", "most_repeats"])
@@ -155,5 +143,6 @@ def shares(documents: DataFrame, targets: DataFrame, budget: int | None = None,
         "mixed_tokens",
         "docs",
         "most_repeats",
+        "mean_position",
         (F.col("mixed_tokens") < F.col("demand")).alias("short"),
     )

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import AS_OF, read
-from . import p1_groups, p2_history, p3_neighbours, p4_neardup, p5_survivor, p6_clusters, p7_packing, p8_mixing, p9_abuse
-from .sql import ORACLES  # noqa: F401
+from . import p1_groups, p2_history, p3_neighbours, p4_neardup, p5_survivor, p6_clusters, p7_packing, p8_mixing, p9_abuse, sql
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,13 +41,19 @@ def p5_current_type(spark: SparkSession, d: str) -> DataFrame:
     return p5_survivor.current_values(read(spark, d, "merge_groups"), read(spark, d, "memories"), "type", AS_OF)
 
 
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    r = p5_survivor.records(read(spark, d, "merge_groups"), read(spark, d, "memories"), ["type", "tier"], AS_OF)
+    return r.select("group_id", "survivor_id", "display_from_id", "type", "tier")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     members, _ = p6_clusters.clusters(read(spark, d, "memories"))
     return members.select(F.col("id").alias("memory_id"), "group_id")
 
 
 def p6_summary(spark: SparkSession, d: str) -> DataFrame:
-    return p6_clusters.clusters(read(spark, d, "memories"))[1]
+    s = p6_clusters.clusters(read(spark, d, "memories"))[1]
+    return s.select("group_id", "n_members", F.round("avg_cosine", 3).alias("avg_cosine"), "medoids")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,11 +68,6 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return p7_packing.fill_report(p7_packing.pack_documents(read(spark, d, "documents")))
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    s = p8_mixing.shares(read(spark, d, "documents"), read(spark, d, "mix_targets"))
-    return s.filter("short").select("source")
-
-
 #: Small sources early, chats late; all others evenly.
 CURRICULUM = {
     "synthesis": ((0.0, 2.0), (0.5, 1.0), (1.0, 0.5)),
@@ -76,12 +76,20 @@ CURRICULUM = {
 }
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    s = p8_mixing.shares(read(spark, d, "documents"), read(spark, d, "mix_targets"), schedules=CURRICULUM)
+    return s.filter("short").select("source")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return p8_mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"), schedules=CURRICULUM)
+    m = p8_mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"), schedules=CURRICULUM)
+    return m.select("source", "doc_id", "repeat_no", "n_tokens", F.round("position", 6).alias("position"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return p8_mixing.shares(read(spark, d, "documents"), read(spark, d, "mix_targets"), schedules=CURRICULUM)
+    s = p8_mixing.shares(read(spark, d, "documents"), read(spark, d, "mix_targets"), schedules=CURRICULUM)
+    six = ("target_share", "actual_share", "demand", "mean_position")
+    return s.select(*[F.round(c, 6).alias(c) if c in six else c for c in s.columns])
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +119,7 @@ QUERIES = {
         p5_found,
         p5_current_tier,
         p5_current_type,
+        p5_records,
         p6_found,
         p6_summary,
         p7_found,
@@ -124,3 +133,5 @@ QUERIES = {
         p9_rates,
     )
 }
+
+ORACLES = sql.oracles()

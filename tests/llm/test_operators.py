@@ -324,6 +324,31 @@ def test_current_value_without_timestamps(spark):
     assert got == {"g1": ("neocortex", True), "g2": ("neocortex", False)}
 
 
+def test_current_value_by_learnt_order(spark):
+    t = lambda d: dt.datetime(2026, 2, d, tzinfo=UTC)
+    rows, groups = [], []
+
+    def group(g, *values):
+        for i, (v, at) in enumerate(values):
+            rows.append((f"{g}{i}", v, at))
+            groups.append((g, f"{g}{i}"))
+
+    group("l1", ("apple", t(1)), ("mango", t(2)))
+    group("l3", ("apple", t(1)), ("mango", t(2)))  # outvotes u3
+    group("l2", ("mango", t(1)), ("cherry", t(2)))
+    for a, b in (("x", "y"), ("y", "z"), ("z", "x")):  # a circle teaches nothing about its own values
+        group(f"c{a}", (a, t(1)), (b, t(2)))
+    group("u1", ("apple", None), ("apple", None), ("cherry", None))  # two steps apart
+    group("u2", ("x", None), ("x", None), ("z", None))
+    group("u3", ("mango", t(3)), ("apple", t(5)), ("cherry", None))  # an undated value follows the latest dated one
+    group("u4", ("cherry", t(3)), ("apple", None), ("other", None), ("other", None))
+    mem = spark.createDataFrame(rows, "id string, tier string, updated_at timestamp")
+    g = spark.createDataFrame(groups, "group_id string, memory_id string")
+    got = {r["group_id"]: (r["value"], r["dated"]) for r in p5_survivor.current_values(g, mem, "tier", AS_OF).collect()}
+    assert got["u1"] == ("cherry", False) and got["u2"] == ("x", False) and got["u3"] == ("cherry", False) and got["u4"] == ("cherry", True)
+    assert got["l1"] == ("mango", True) and p5_survivor.current_values(g.limit(0), mem, "tier", AS_OF).count() == 0
+
+
 # ---- p6
 
 
@@ -412,7 +437,7 @@ def test_packing_documents(spark):
 # ---- p8
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
     docs = [(i, "w " * (5 + i % 7), ("Big ", "small", "other", None)[0 if i < 700 else 1 if i < 720 else 2 if i < 900 else 3], 1) for i in range(950)]
     docs += [(999, None, "big", 1), (1000, "", "big", 1)]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string, position int")
@@ -425,6 +450,8 @@ def test_mix(spark):
     assert 0.5 * total <= got["big"] < 0.5 * total + 15 and got["small"] == 3 * own["small"]
     late = sum(r["n_tokens"] for r in m if r["source"] == "big" and r["position"] >= 0.5)
     assert abs(late / got["big"] - 0.75) < 0.02  # a rising schedule gives three quarters to the second half
+    monkeypatch.setattr(p8_mixing, "RANGE", 7)  # the ranges do not show in the result
+    assert p8_mixing.mix(d, t, schedules={"big": ((0, 0.0), (1, 2.0))}).collect() == m
     s = {r["source"]: r for r in p8_mixing.shares(d, t).collect()}
     assert not s["big"]["short"] and s["small"]["short"] and s["nowhere"]["short"] and s["small"]["most_repeats"] == 3
     assert p8_mixing.mix(d.limit(0), t).count() == 0 and p8_mixing.mix(d, t.limit(0)).count() == 0
