@@ -33,8 +33,8 @@ BROADCAST_IDS = 300_000
 
 
 def features(records: DataFrame, dim: int = DIM, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, h, w, v) of records(id, content, vector): hashed distinct words and usable vector, null where there is none."""
-    w = F.array_sort(F.array_distinct(F.transform(words(F.col("content")), lambda x: F.xxhash64(x))))
+    """(id, h, w, v) of records(id, content, vector): distinct words, hashed to 32 bits, and usable vector, null where there is none."""
+    w = F.array_sort(F.array_distinct(F.transform(words(F.col("content")), lambda x: F.shiftright(F.xxhash64(x), 32).cast("int"))))
     return (
         records.filter("id is not null")
         .select("id", F.xxhash64("id").alias("h"), w.alias("w"), "vector")
@@ -106,7 +106,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of records(id, content, vector) that are alike."""
     rows = records.count()
-    f = features(records, dim, min_words)
+    f = materialise(features(records, dim, min_words), "p4-features")  # contents are read once
     df = sig.document_frequency(f.filter("w is not null").select(F.col("w").alias("h")))
     space = sig.VectorSpace.fit(f.filter("v is not null"), dim)
     stars, keys = [], []
@@ -121,9 +121,7 @@ def near_duplicates(
     out = stars[0].unionByName(stars[1])
     for k, test, column, errors in zip(keys, tests(min_cosine, min_jaccard), ("w", "v"), (sig.WORD_ERRORS, sig.VECTOR_ERRORS)):
         pairs = materialise(sig.hamming_join(k, errors), "p4-pairs")
-        # 32 bits a word are enough to compare two texts, and half as much to move
-        x = F.transform("w", lambda z: F.shiftright(z, 32).cast("int")) if column == "w" else F.col("v")
-        out = out.unionByName(verify(pairs, f.select("id", "h", x.alias("x")), test))
+        out = out.unionByName(verify(pairs, f.select("id", "h", F.col(column).alias("x")), test))
     return out.distinct()
 
 

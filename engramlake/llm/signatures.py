@@ -1,7 +1,8 @@
 """b-bit signatures of texts and vectors, and the multi-index Hamming join over them.
 
 A signature has `CHUNKS * PER` symbols. For a text a symbol is a weighted min-hash of its words (rare
-words weigh more), for a vector the nearest signed axis after a random rotation of its residual. The
+words weigh more), for a vector the nearest signed axis after a random rotation of the vector without the
+mean, in which directions that vary most are damped: common directions would make all vectors alike. The
 distance of two signatures is the number of symbols that differ. Split into CHUNKS chunks, any two
 signatures that differ in fewer than 2 * CHUNKS symbols have a chunk with at most one error
 (pigeonhole); enumerating the chunk with each one of its symbols left out finds every such pair.
@@ -24,6 +25,8 @@ SYMBOLS = CHUNKS * PER
 WORD_ERRORS, VECTOR_ERRORS = 12, 12
 #: Buckets of the document frequency sketch; its size bounds what is broadcast.
 DF_BUCKETS = 1 << 18
+#: See VectorSpace.fit.
+DAMP = 0.25
 #: Axes of a vector symbol.
 AXES = 24
 
@@ -52,7 +55,7 @@ def document_frequency(words: DataFrame) -> np.ndarray:
 
 def text_symbols(h: np.ndarray, n: np.ndarray, df: np.ndarray, texts: float) -> np.ndarray:
     """Symbols of texts given as the flat hashes of their distinct words and the number of words of each (> 0)."""
-    h = h.view(np.uint64)
+    h = h.astype(np.int64, copy=False).view(np.uint64)
     weight = np.log(1 + texts / np.maximum(1.0, df[(h % np.uint64(DF_BUCKETS)).astype(int)]))
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
     out = np.empty((len(n), SYMBOLS), np.int64)
@@ -86,17 +89,20 @@ def moments(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class VectorSpace:
-    """Mean and common directions of all unit vectors; fitted from sums, whose size does not grow with the data."""
+    """Mean and damped principal directions of all unit vectors; fitted from sums, whose size does not grow with the data."""
 
     def __init__(self, mean: np.ndarray, basis: np.ndarray):
         self.mean, self.basis = mean.astype(np.float32), basis.astype(np.float32)
 
     @staticmethod
     def fit(vectors: DataFrame, dim: int) -> VectorSpace:
-        """vectors(v array<float>), usable. Directions with over three times the median variance are common ones."""
+        """vectors(v array<float>), usable. A direction keeps its scale up to DAMP of the variance that an average one
+        of those in use has, and is scaled down to it beyond; so none is lost, and directions without variance add nothing."""
         mean, cov = moments(vectors, dim)
         var, axes = np.linalg.eigh(cov)
-        return VectorSpace(mean, axes[:, var <= 3 * np.median(var)])
+        var = np.maximum(var, 0)
+        least = DAMP * (var @ var) / var.sum() if var.sum() > 0 else 1.0
+        return VectorSpace(mean, axes / np.sqrt(np.maximum(var / least, 1.0)) if least > 0 else axes)
 
     def symbols(self, x: np.ndarray, seed: int = 7) -> np.ndarray:
         """Symbols of unit vectors."""

@@ -146,6 +146,29 @@ def test_copies_are_paired_with_one(spark):
     assert got == {("k000", f"k{i:03d}") for i in range(1, 90)} | {("k000", "other")}
 
 
+@pytest.mark.parametrize("kind", ["few", "low rank", "hot"])
+def test_recall_of_unusual_vectors(spark, kind):
+    rng = np.random.default_rng(21)
+    near = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True) + 0.012 * rng.standard_normal(x.shape)
+    if kind == "few":
+        x = vectors(20, seed=22)
+        x = np.concatenate([x, near(x)])
+    elif kind == "low rank":
+        x = rng.standard_normal((900, 12)) @ rng.standard_normal((12, 96))
+        x = np.concatenate([x, near(x[:150])])
+    else:  # a third of the rows in one tight cluster
+        h = vectors(1, seed=23) + 0.027 * rng.standard_normal((500, 96))
+        x = np.concatenate([vectors(1000, seed=24), h, near(h[:200])])
+    rows = [(f"m{i:04d}", None, floats(v), "") for i, v in enumerate(x)]
+    u = np.array([r[2] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.985, 1))
+    truth = {(rows[a][0], rows[b][0]) for a, b in zip(i, j)}
+    got = {tuple(r) for r in p4_neardup.near_duplicates(spark.createDataFrame(rows, RECORD)).collect()}
+    least = 0.8 if kind == "hot" else 0.9  # inside a tight cluster the signatures of all are much alike
+    assert got <= truth and len(got) >= least * len(truth) and len(truth) >= 20
+
+
 INCOMING = "seq long, batch_no long, incoming_id string, content string, vector array<float>, source string"
 
 
