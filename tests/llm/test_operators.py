@@ -185,23 +185,28 @@ def test_repeats_equal_brute_force(spark):
     assert {r[0] for r in p2_history.repeats(m, df).collect()} == truth and truth
     assert p2_history.repeats(m, df.limit(0)).count() == 0
     # batch after batch against the growing history, with merges, gives the same
-    history, known, got = p2_history.start(m), p2_history.of_memories(m), set()
-    for b in range(3):
-        part = p2_history.of_incoming(df.filter(f"batch_no = {b}"))
-        got |= {r[0] for r in p2_history.accept(history, part, known).collect()}
-        known = known.unionByName(part)
-    assert got == truth
+    history, got = p2_history.start(m), set()
+    for b in range(9):
+        part = p2_history.of_incoming(df.filter(f"seq div 10 = {b}"))
+        got |= {r[0] for r in p2_history.accept(history, part).collect()}
+        history = p2_history.History.open(spark, history.path)  # as a later job would
+    assert got == truth and sorted(s[1] for s in history.segments) == [0, 1, 1, 2] and len(history.vectors) == 10
 
 
-def test_segments_merge_logarithmically(spark):
+def test_segments_merge_logarithmically(spark, monkeypatch):
     m = spark.createDataFrame(sample_records("m", 40, 2), RECORD)
     f = p2_history.of_memories(m)
     h = p2_history.History(spark, p2_history.sig.VectorSpace.fit(f.filter("v is not null"), 96))
     for i in range(9):
-        h.append(p2_history.symbol_texts(f, h.space), 40)
+        h.append(p2_history.symbol_texts(f, h.space))
         h.merge()
     levels = [s[1] for s in h.segments]
     assert len(levels) < 5 and max(levels) == 1
+    monkeypatch.setattr(p2_history, "SHARD", 10)
+    for i in range(4):
+        h.append(p2_history.symbol_texts(f.withColumn("id", p2_history.F.concat("id", p2_history.F.lit(f"-{i}"))), h.space))
+    h.merge()
+    assert all(r["n"] < 40 for s in h.segments for r in h._read([s[0]]).selectExpr("size(w_reps) as n").collect())  # shards do not grow
     found = h.search(p2_history.symbol_texts(f.withColumn("ord", p2_history.F.lit(5).cast("long")), h.space), 40)
     assert {r["rep"] for r in found.collect()} >= {"m0001", "m0005"}
 
