@@ -88,6 +88,31 @@ def vector_keys(f: DataFrame, space: sig.VectorSpace) -> DataFrame:
     return f.filter("v is not null").select("h", "v").mapInPandas(run, "key long, h long, sk long")
 
 
+def code_filter(pairs: DataFrame, f: DataFrame, space: sig.VectorSpace, min_cosine: float) -> DataFrame:
+    """pairs(a, b) whose sign codes differ in no more bits than those of vectors with min_cosine do, and four deviations.
+
+    The angle between vectors without the mean may be larger than that between the vectors; what the mean
+    takes from them at most is known, so the limit allows for it.
+    """
+    n = sig.CODE_BITS
+    left = max(0.05, 1 - float(space.mean @ space.mean))  # squared length that is left of an average vector
+    share = float(np.arccos(max(-1.0, 1 - (1 - min_cosine) / left))) / np.pi
+    limit = int(n * share + 4 * np.sqrt(n * share * (1 - share)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"h": b["h"], "code": list(space.codes(unit(stack(b["v"]))))})
+
+    ids = materialise(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "p4-coded")
+    few = ids.count() <= BROADCAST_IDS
+    own = f.filter("v is not null").select("h", "v").join(F.broadcast(ids) if few else ids, "h", "left_semi")
+    codes = materialise(own.mapInPandas(run, "h long, code array<long>").dropDuplicates(["h"]), "p4-codes")
+    one, two = codes.select(F.col("h").alias("a"), F.col("code").alias("x")), codes.select(F.col("h").alias("b"), F.col("code").alias("y"))
+    differ = sum(F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(n // 64))
+    return pairs.join(one, "a").join(two, "b").filter(differ <= limit).select("a", "b")
+
+
 def copy_classes(f: DataFrame, column: str, rows: int, counts: bool = False) -> DataFrame:
     """(c, c2, rep), and n if asked for, of the values of a column that very many ids hold; at most 20,000 rows."""
     limit = max(64, rows // 20_000)
@@ -121,6 +146,8 @@ def near_duplicates(
     out = stars[0].unionByName(stars[1])
     for k, test, column, errors in zip(keys, tests(min_cosine, min_jaccard), ("w", "v"), (sig.WORD_ERRORS, sig.VECTOR_ERRORS)):
         pairs = materialise(sig.hamming_join(k, errors), "p4-pairs")
+        if column == "v":  # inside a cluster many signatures are alike: sign codes are shorter to move than vectors
+            pairs = materialise(code_filter(pairs, f, space, min_cosine), "p4-close")
         out = out.unionByName(verify(pairs, f.select("id", "h", F.col(column).alias("x")), test))
     return out.distinct()
 

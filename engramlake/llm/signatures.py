@@ -25,6 +25,8 @@ SYMBOLS = CHUNKS * PER
 WORD_ERRORS, VECTOR_ERRORS = 12, 12
 #: Buckets of the document frequency sketch; its size bounds what is broadcast.
 DF_BUCKETS = 1 << 18
+#: Sign bits that are compared before vectors are.
+CODE_BITS = 256
 #: See VectorSpace.fit.
 DAMP = 0.25
 #: Axes of a vector symbol.
@@ -95,15 +97,20 @@ class VectorSpace:
         self.mean, self.basis = mean.astype(np.float32), basis.astype(np.float32)
 
     @staticmethod
-    def fit(vectors: DataFrame, dim: int) -> VectorSpace:
-        """vectors(v array<float>), usable. A direction keeps its scale up to DAMP of the variance that an average one
+    def fit(vectors: DataFrame, dim: int, damp: float = DAMP) -> VectorSpace:
+        """vectors(v array<float>), usable. A direction keeps its scale up to `damp` of the variance that an average one
         of those in use has, and is scaled down to it beyond; so none is lost, and directions without variance add nothing."""
         mean, cov = moments(vectors, dim)
         var, axes = np.linalg.eigh(cov)
         var = np.maximum(var, 0)
-        least = DAMP * (var @ var) / var.sum() if var.sum() > 0 else 1.0
+        least = damp * (var @ var) / var.sum() if var.sum() > 0 else 1.0
         return VectorSpace(mean, axes / np.sqrt(np.maximum(var / least, 1.0)) if least > 0 else axes)
 
+    def codes(self, x: np.ndarray, seed: int = 9) -> np.ndarray:
+        """Signs of unit vectors, without the mean, along CODE_BITS random directions, packed into longs."""
+        z = (x - self.mean) @ np.random.default_rng(seed).standard_normal((x.shape[1], CODE_BITS)).astype(np.float32)
+        return np.packbits(z > 0, axis=1).view(np.int64)
+
     def symbols(self, x: np.ndarray, seed: int = 7) -> np.ndarray:
         """Symbols of unit vectors."""
         rng = np.random.default_rng(seed)
