@@ -144,6 +144,8 @@ ORACLES = {
     "detected_languages": f"""WITH t AS (SELECT coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
  h AS (SELECT t, {HITS} FROM t), c AS (SELECT CASE WHEN length(t) < 20 OR {BEST} = 0 THEN 'eng' {PICK} END AS code FROM h)
  SELECT code, count(*) AS n, CASE code {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ISO1.items())} ELSE 'en' END AS locale FROM c GROUP BY code""",
+    "sentence_counts": r"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS INTEGER)
+ AS n_sentences FROM documents""",
     "knn_batch": knn("vector", 96, 10),
     "knn_tags": knn("tags_vector", 32, 10),
     "hybrid_search": hybrid() + OUT,
