@@ -68,10 +68,17 @@ PACKED = rf"""
 WITH d AS (SELECT doc_id, {TOKENS} AS n FROM documents),
 p AS (SELECT doc_id, k AS piece_no, k * 512 AS first_token, least(n - k * 512, 512) AS n_tokens
   FROM (SELECT doc_id, n, unnest(range(0, greatest((n + 511) // 512, 1))) AS k FROM d)),
-c AS (SELECT *, 512 // greatest(n_tokens, 1) AS slots FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY slots ORDER BY n_tokens, doc_id, piece_no) - 1 AS r, count(*) OVER (PARTITION BY slots) AS m FROM c),
+c AS (SELECT *, 512 // greatest(n_tokens, 1) AS class FROM p),
+d32 AS (SELECT *, CASE WHEN class = 1 THEN (512 - n_tokens) * 32 // 512 ELSE (n_tokens * 32 + 511) // 512 END AS band FROM c),
+q AS (SELECT *, count(*) FILTER (WHERE class = 1) OVER (PARTITION BY band) AS rooms,
+  row_number() OVER (PARTITION BY band, class = 1 ORDER BY n_tokens DESC, doc_id, piece_no) - 1 AS pair FROM d32),
+s AS (SELECT *, class > 1 AND pair < rooms AS beside, CASE WHEN pair < rooms THEN 1 ELSE class END AS slots FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY slots, beside ORDER BY n_tokens, doc_id, piece_no) - 1 AS r,
+  count(*) OVER (PARTITION BY slots, beside) AS m FROM s),
 packed AS (SELECT doc_id, CAST(piece_no AS INTEGER) AS piece_no, first_token, n_tokens,
-  slots || '-0-' || (CASE WHEN r * 2 < m THEN r * 2 ELSE (m - 1 - r) * 2 + 1 END // slots) AS container_id, slots FROM r)"""
+  CASE WHEN slots = 1 THEN '1-0-' || band || '-' || pair
+    ELSE slots || '-0-' || (CASE WHEN r * 2 < m THEN r * 2 ELSE (m - 1 - r) * 2 + 1 END // slots) END AS container_id,
+  CAST(slots AS BIGINT) AS slots, beside FROM r)"""
 
 
 def _mixed() -> str:

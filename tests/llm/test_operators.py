@@ -6,6 +6,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from engramlake.llm import (
     p1_groups,
@@ -453,6 +454,14 @@ def test_packing(spark):
         assert sum(n for _, n in p) == sizes[d] and len(p) == max(1, -(-sizes[d] // 512))
         assert all(a[0] + a[1] == b[0] for a, b in zip(sorted(p), sorted(p)[1:]))
     assert p7_packing.pack(items.limit(0)).count() == 0
+    # containers that are not of the first class hold their fixed number, but for the last of a share
+    many = spark.createDataFrame([(i, 1 + i * 37 % 512) for i in range(2000)], "doc_id long, n_tokens long")
+    one = p7_packing.pack(many)
+    rows = one.groupBy("container_id", "slots").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.sum(F.col("beside").cast("int")).alias("b")).collect()
+    assert max(r["t"] for r in rows) <= 512 and all(r["k"] == 1 + r["b"] <= 2 if r["slots"] == 1 else r["k"] <= r["slots"] and r["b"] == 0 for r in rows)
+    assert max(sum(1 for r in rows if r["slots"] == j and r["k"] < j) for j in range(2, 513)) <= 1
+    assert sum(r["t"] for r in rows) / 512 / len(rows) > 0.95
+    assert {r[0] for r in one.filter("beside").select("slots").distinct().collect()} == {1}
 
 
 def test_packing_documents(spark):
