@@ -4,10 +4,10 @@ Records are alike if their vectors have at least `min_cosine`, or their contents
 `min_words` distinct words each and share at least `min_jaccard` of the words of both. Signatures of
 words and of vectors give the candidates (see signatures.py), which are then checked exactly.
 
-Exact copies: a set of words or a vector that more than max(64, n / 20,000) records hold is a copy
-class. Its smallest id stands for it in the join, and every other copy is paired with that one only;
-smaller groups are paired in full. So a class that holds a third of all rows costs a third of the
-rows, and no link between different texts is lost.
+Exact copies: a set of words or a vector that more than `copies` records hold is a copy class. Its
+smallest id stands for it in the join, and every other copy is paired with that one only; smaller groups
+are paired in full. So a class that holds a third of all rows costs a third of the rows, and no link
+between different texts is lost. Which form a class has depends on its own size alone, not on the table's.
 
 Edge cases: rows of one id count once; null or unusable vectors and short or null contents take no
 part in that comparison; an id is never paired with itself; an empty table gives no rows.
@@ -27,7 +27,7 @@ from ..session import materialise
 from . import signatures as sig
 from .common import cosine, stack, unit, usable, words
 
-DIM, MIN_COSINE, MIN_JACCARD, MIN_WORDS = 96, 0.985, 0.7, 8
+DIM, MIN_COSINE, MIN_JACCARD, MIN_WORDS, COPIES = 96, 0.985, 0.7, 8, 64
 #: Candidate ids up to this number are broadcast to prune the second scan; beyond it they are joined by shuffle.
 BROADCAST_IDS = 300_000
 
@@ -113,21 +113,34 @@ def code_filter(pairs: DataFrame, f: DataFrame, space: sig.VectorSpace, min_cosi
     return pairs.join(one, "a").join(two, "b").filter(differ <= limit).select("a", "b")
 
 
-def copy_classes(f: DataFrame, column: str, rows: int, counts: bool = False) -> DataFrame:
-    """(c, c2, rep), and n if asked for, of the values of a column that very many ids hold; at most 20,000 rows."""
-    limit = max(64, rows // 20_000)
+def copy_classes(f: DataFrame, column: str, limit: int) -> DataFrame:
+    """(c, c2, rep, n) of the values of a column that more than limit ids hold."""
     return (
         f.filter(F.col(column).isNotNull())
         .select(F.xxhash64(column).alias("c"), F.hash(column).alias("c2"), "id")
         .groupBy("c", "c2")
-        .agg(F.count("*").alias("n"), F.min("id").alias("rep"))
+        .agg(F.min("id").alias("rep"), F.count("*").alias("n"))
         .filter(F.col("n") > limit)
-        .select("c", "c2", "rep", *(["n"] if counts else []))
     )
 
 
+def with_class(f: DataFrame, column: str, many: DataFrame, rows: int) -> DataFrame:
+    """f with the copy class (c, c2, rep, n) of its column, null where there is none."""
+    c, key = f.withColumns({"c": F.xxhash64(column), "c2": F.hash(column)}), ["c", "c2"]
+    if many.count() <= BROADCAST_IDS:
+        return c.join(F.broadcast(many), key, "left")
+    # fewer than 64 classes hold more than 1/64 of all rows
+    hot = F.broadcast(many.filter(F.col("n") > rows // 64))
+    return c.join(hot, key).unionByName(c.join(hot, key, "left_anti").join(many.filter(F.col("n") <= rows // 64), key, "left"))
+
+
 def near_duplicates(
-    records: DataFrame, dim: int = DIM, min_cosine: float = MIN_COSINE, min_jaccard: float = MIN_JACCARD, min_words: int = MIN_WORDS
+    records: DataFrame,
+    dim: int = DIM,
+    min_cosine: float = MIN_COSINE,
+    min_jaccard: float = MIN_JACCARD,
+    min_words: int = MIN_WORDS,
+    copies: int = COPIES,
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of records(id, content, vector) that are alike."""
     rows = records.count()
@@ -137,9 +150,8 @@ def near_duplicates(
     stars, keys = [], []
     for column in ("w", "v"):
         # a third of all rows may be copies: one of them stands for all
-        many = materialise(copy_classes(f, column, rows), "p4-copies")
-        c = f.filter(F.col(column).isNotNull()).withColumns({"c": F.xxhash64(column), "c2": F.hash(column)})
-        c = c.join(F.broadcast(many), ["c", "c2"], "left")
+        many = materialise(copy_classes(f, column, copies), "p4-copies")
+        c = with_class(f.filter(F.col(column).isNotNull()), column, many, rows)
         stars.append(c.filter("rep is not null and rep <> id").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
         one = c.filter("rep is null or rep = id").select("h", column)
         keys.append(word_keys(one, df, rows) if column == "w" else vector_keys(one, space))

@@ -179,7 +179,7 @@ def clusters(
     )
     f = materialise(f, "p6-vectors")
     rows = f.count()
-    many = materialise(copy_classes(f, "v", rows, counts=True), "p6-copies")
+    many = materialise(copy_classes(f, "v", max(64, rows // 20_000)), "p6-copies")
     f = f.withColumns({"c": F.xxhash64("v"), "c2": F.hash("v")}).join(F.broadcast(many), ["c", "c2"], "left")
     copies = f.filter("rep <> id").select("id", "rep")
     points = f.filter("rep is null or rep = id").select("id", F.coalesce("n", F.lit(1)).cast("long").alias("weight"), "v")

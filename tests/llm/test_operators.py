@@ -139,6 +139,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert p4_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_copy_classes_are_stars_by_their_own_size(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(p4_neardup, "BROADCAST_IDS", broadcast)
+    v = [floats(x) for x in vectors(40, seed=4)]
+    big, small = [" ".join(f"{p}{i}" for i in range(20)) for p in "ab"]
+    rows = [(f"b{i:02d}", big, v[i], "n") for i in range(30)] + [(f"s{i}", small, v[30 + i], "n") for i in range(4)]
+    rows += [("near", big.replace("a7 ", ""), v[34], "n"), ("null", None, None, None)]
+    got = [tuple(r) for r in p4_neardup.near_duplicates(spark.createDataFrame(rows, RECORD), copies=10).collect()]
+    want = {("b00", f"b{i:02d}") for i in range(1, 30)} | {("b00", "near")} | set(itertools.combinations([f"s{i}" for i in range(4)], 2))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_copies_are_paired_with_one(spark):
     rows = [(f"k{i:03d}", " ".join(f"w{j}" for j in range(12)), None, "") for i in range(90)] + [
         ("other", " ".join(f"w{j}" for j in range(11)), None, "")
