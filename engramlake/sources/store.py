@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialise
+
 # Defaults of columns that older snapshots lack.
 DEFAULTS = {"stability": 1.0, "tier": "neocortex", "strength": 0.5}
 
@@ -45,25 +47,27 @@ def scope_of(tag) -> dict:
     }
 
 
-def shard_rotation(memories: DataFrame, capacity: int, buckets: int = 64) -> DataFrame:
+def shard_rotation(memories: DataFrame, capacity: int, part_rows: int = 1_000_000) -> DataFrame:
     """(id, container_tag, shard_index): shards of `capacity` memories in order of creation within each container.
 
-    The position is the number of earlier rows: sums over time buckets plus the position inside one, so a
-    container that holds a third of all rows is numbered by many tasks.
+    Rows are cut into ranges of about part_rows by container, time and id, and the position is the number of
+    rows in earlier ranges plus the position inside one; so neither a container that holds a third of all rows
+    nor a burst of rows of one time is one task.
     """
     t = F.coalesce(F.unix_micros("created_at"), F.lit(2**62).cast("long"))
     m = memories.select("id", "container_tag", t.alias("t"))
-    lo = m.filter(F.col("t") < 2**62).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))  # one row
-    b = F.when(F.col("t") == 2**62, F.lit(buckets)).otherwise(
-        F.floor((F.col("t") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1)) * buckets)
-    )
-    m = m.crossJoin(F.broadcast(lo)).withColumn("b", b.cast("int")).drop("lo", "hi")
+    parts = max(1, -(-m.count() // part_rows))
+    # written once: a range that is computed again may be cut elsewhere
+    ranges = m.repartitionByRange(parts, "container_tag", "t", "id").withColumn("b", F.spark_partition_id())
+    m = materialise(ranges, "rotation")
     n = m.groupBy("container_tag", "b").agg(F.count("*").alias("n"))
-    before = n.withColumn("before", F.sum("n").over(Window.partitionBy("container_tag").orderBy("b")) - F.col("n")).drop("n")
+    before = n.select(
+        F.col("container_tag").alias("c"), F.col("b").alias("d"), (F.sum("n").over(Window.partitionBy("container_tag").orderBy("b")) - F.col("n")).alias("before")
+    )
     w = Window.partitionBy("container_tag", "b").orderBy("t", "id")
     return (
         m.withColumn("r", F.row_number().over(w) - 1)
-        .join(before.withColumnRenamed("container_tag", "c"), F.col("container_tag").eqNullSafe(F.col("c")) & (m["b"] == before["b"]))
+        .join(before, F.col("container_tag").eqNullSafe(F.col("c")) & (F.col("b") == F.col("d")))
         .select("id", "container_tag", F.floor((F.col("before") + F.col("r")) / capacity).cast("long").alias("shard_index"))
     )
 

@@ -375,6 +375,15 @@ def test_rotation_and_scope(spark):
     m = memory_rows(spark, [mem(f"m{i:03d}", "x", c="note_project_ab_cd" if i % 3 else "plain", age=i % 11) for i in range(100)])
     got = store.shard_rotation(m, 10).groupBy("container_tag", "shard_index").count().collect()
     assert max(r["count"] for r in got) == 10 and sum(r["count"] for r in got) == 100 and sum(r["count"] < 10 for r in got) <= 2
+    # one moment for most rows, containers null and hot: as one sorted list a container, however the ranges are cut
+    rows = [mem(f"m{i:03d}", "x", c=None if i % 10 == 0 else "plain" if i % 9 == 0 else "hot", age=5 if i % 4 else i % 7) for i in range(300)]
+    burst = memory_rows(spark, rows)
+    want, seen = {}, {}
+    for r in sorted(burst.select("id", "container_tag", "created_at").collect(), key=lambda r: (r["created_at"], r["id"])):
+        want[r["id"]] = seen.get(r["container_tag"], 0) // 10
+        seen[r["container_tag"]] = seen.get(r["container_tag"], 0) + 1
+    assert {r["id"]: r["shard_index"] for r in store.shard_rotation(burst, 10, part_rows=25).collect()} == want
+    assert store.shard_rotation(burst.limit(0), 10).count() == 0
     s = {(r["scope"], r["scope_hash"]) for r in m.select(*[v.alias(k) for k, v in store.scope_of(F.col("container_tag")).items()]).collect()}
     assert s == {("project", "ab_cd"), ("user", "plain")}
 
