@@ -502,3 +502,17 @@ def test_shards(spark):
     assert store.catalog(s).count() == 3 and [r["id"] for r in store.active_shards(s).collect()] == [2]
     assert {tuple(r) for r in store.discovered(s).collect()} == {(1, "user", "h", 0)}
     assert store.shard_by_path(s, "/else/user_h_shard_0.db").first()["id"] == 1
+
+
+def test_approximate_search_compares_each_pair_once(spark):
+    """At a cosine of 0.75 buckets of one projection hold almost all rows: every pair came out of most of twelve tables."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 16)).astype(np.float32)
+    df = spark.createDataFrame([(f"m{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<float>")
+    q = df.limit(50).withColumnRenamed("id", "qid")
+    found = search.search(df, q, "v", 16, 5, "approximate", 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(f"m{i:03d}", f"m{j:03d}", rank) for i in range(50) for rank, j in enumerate(sorted(np.flatnonzero(u[i] @ u.T >= 0.5), key=lambda j: -u[i] @ u[j])[:5], 1)}
+    assert {(r["qid"], r["id"], r["rank"]) for r in found.collect()} == want and len(want) > 100
