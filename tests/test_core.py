@@ -504,6 +504,37 @@ def test_shards(spark):
     assert store.shard_by_path(s, "/else/user_h_shard_0.db").first()["id"] == 1
 
 
+@pytest.mark.parametrize("rows_a_task, block", [(50_000, 10_000), (9, 10_000), (9, 3)])
+def test_search_of_each_container_equals_brute_force(spark, monkeypatch, rows_a_task, block):
+    """Scored where a container is held: the nearest of all queries in all containers are gathered nowhere."""
+    monkeypatch.setattr(search, "CONTAINER_ROWS", rows_a_task)
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", block)
+    rng = np.random.default_rng(4)
+    n, p = 60, params.Params(over_fetch=2, decay_enabled=False, similarity_threshold=0.1)
+    v, t = rng.standard_normal((n, 6)).astype(np.float32), rng.standard_normal((n, 3)).astype(np.float32)
+    c, tags = [("hot", "hot", "b", None)[i % 4] for i in range(n)], [("sparkjobs,x", "", "lake", "x")[i % 4 - i % 3] for i in range(n)]
+    data = [(f"m{i:02d}", None if i == 9 else v[i].tolist(), [0.0] * 3 if i == 5 else t[i].tolist(), c[i], tags[i], ("spark lake lake zebra", "")[i % 2]) for i in range(n)]
+    rows = spark.createDataFrame(data, "id string, vector array<float>, tags_vector array<float>, container_tag string, tags string, content string")
+    rows = rows.withColumns({"created_at": F.lit(AS_OF), "last_accessed_at": F.lit(AS_OF), "stability": F.lit(1.0)})
+    q = rows.filter("id < 'm11'").withColumnRenamed("id", "qid")
+    found = search.hybrid(rows.unionByName(rows.limit(20)), rows, q, AS_OF, p, 3, "each", 6, 3)
+    assert "grp" in found._jdf.queryExecution().executedPlan().toString()  # rows move to their container
+    got = {(r["qid"], r["container_tag"], r["rank"]): (r["id"], round(r["similarity"], 6)) for r in found.collect()}
+    unit = lambda x: x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sv, st, want = unit(v) @ unit(v).T, unit(t) @ unit(t).T, {}
+    for a in range(11):
+        for g in ("hot", "b", None):
+            own = [j for j in range(n) if c[j] == g]
+            near = sorted((j for j in own if j != 9 and a != 9), key=lambda j: (-sv[a, j], j))[:6]
+            near_t = sorted((j for j in own if j != 5 and a != 5), key=lambda j: (-st[a, j], j))[:6]
+            words = ["spark", "lake", "lake", "zebra"] if a % 2 == 0 else []
+            boost = lambda j: sum(w in tags[j] for w in words) / max(1, len(words))
+            score = {j: (sv[a, j] if j in near else 0.0) + 0.3 * max(st[a, j] if j in near_t else 0.0, boost(j)) for j in {*near, *near_t}}
+            for rank, j in enumerate(sorted((j for j in score if score[j] >= 0.1), key=lambda j: (-score[j], j))[:3], 1):
+                want[f"m{a:02d}", g, rank] = (f"m{j:02d}", round(float(score[j]), 6))
+    assert got == want
+
+
 def test_approximate_search_compares_each_pair_once(spark):
     """At a cosine of 0.75 buckets of one projection hold almost all rows: every pair came out of most of twelve tables."""
     rng = np.random.default_rng(3)
