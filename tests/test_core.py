@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import os
+import time
 
 import numpy as np
 import pytest
@@ -547,3 +548,16 @@ def test_approximate_search_compares_each_pair_once(spark):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = {(f"m{i:03d}", f"m{j:03d}", rank) for i in range(50) for rank, j in enumerate(sorted(np.flatnonzero(u[i] @ u.T >= 0.5), key=lambda j: -u[i] @ u[j])[:5], 1)}
     assert {(r["qid"], r["id"], r["rank"]) for r in found.collect()} == want and len(want) > 100
+
+
+def test_shuffles_of_a_written_table_are_deleted(spark):
+    from engramlake.session import materialise
+
+    on_disk = lambda: {f for d, _, names in os.walk(spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()[0].getPath()) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    before = on_disk()
+    t = materialise(spark.range(50_000).select((F.col("id") % 20_000).alias("k")).groupBy("k").count(), "cleaned")
+    for _ in range(50):  # they are deleted in the background
+        if not on_disk() - before:
+            break
+        time.sleep(0.2)
+    assert not on_disk() - before and t.count() == 20_000
