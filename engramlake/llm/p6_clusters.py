@@ -78,7 +78,8 @@ def _cell(key: tuple, pdf: pd.DataFrame, t: float, min_pts: int) -> pd.DataFrame
     keep = label >= 0
     name = "-".join(str(k) for k in key)
     out = pdf[["id", "weight", "home", "v"]][keep].copy()
-    out["cluster"] = [f"{name}-{k}" for k in label[keep]]
+    # strings even where no row is kept: an empty column of no type is no Arrow string
+    out["cluster"] = np.array([f"{name}-{k}" for k in label[keep]], object)
     out["core"] = core[keep]
     out["v"] = out["v"].where(out["home"], None)
     return out[["id", "weight", "cluster", "core", "home", "v"]]
@@ -157,6 +158,14 @@ def _small(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_GROUPS else df
 
 
+def _with_vectors(own: DataFrame, points: DataFrame) -> DataFrame:
+    """own(id, weight, v, group) with the unit vector of those that have none: a point may be clustered in another cell than that of its vector."""
+    x = F.transform("v", lambda e: e.cast("double"))
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e))
+    v = points.select("id", F.transform(x, lambda e: (e / length).cast("float")).alias("v"))
+    return own.filter("v is not null").unionByName(own.filter("v is null").drop("v").join(v, "id").select("id", "weight", "v", "group"))
+
+
 def clusters(
     records: DataFrame,
     field: str = "vector",
@@ -196,7 +205,7 @@ def clusters(
         F.max("weight").alias("weight"),
         F.max("v").alias("v"),
     )
-    own = materialise(own.select("id", "weight", "v", "g.group"), "p6-own")
+    own = materialise(_with_vectors(materialise(own.select("id", "weight", "v", "g.group"), "p6-owned"), points), "p6-own")
     sizes = own.groupBy("group").agg(F.sum("weight").alias("n")).filter(F.col("n") >= min_size)
     sizes = materialise(sizes, "p6-sizes")
     groups = sizes.count()

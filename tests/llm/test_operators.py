@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -435,6 +436,27 @@ def test_small_clusters_in_a_large_cell_stay_whole(spark, monkeypatch, block):
         assert len({r["cluster"] for r in local}) > 6
 
 
+def test_a_cell_without_clusters_gives_no_rows():
+    import pyarrow as pa
+
+    pdf = pd.DataFrame({"id": [f"n{i}" for i in range(10)], "weight": 1, "home": True, "v": list(vectors(10, seed=34))})
+    out = p6_clusters._cell((3, 0, 0), pdf, 0.65, 4)
+    assert not len(out) and isinstance(pa.Array.from_pandas(out["cluster"], type=pa.string()), pa.StringArray)
+
+
+def test_a_point_clustered_outside_its_first_cell_keeps_its_vector(spark, monkeypatch):
+    local = p6_clusters.local_clusters
+    lost = lambda c: F.when(~F.col("id").isin("c0_03", "c0_30"), F.col(c))
+
+    def elsewhere(*args):  # as if their first cell had left these out
+        return local(*args).withColumns({"home": F.coalesce(lost("home"), F.lit(False)), "v": lost("v")})
+
+    monkeypatch.setattr(p6_clusters, "local_clusters", elsewhere)
+    rng = np.random.default_rng(8)
+    rows = [(f"c0_{i:02d}", "", floats(3 * v), "") for i, v in enumerate(vectors(1, seed=35)[0] + 0.045 * rng.standard_normal((40, 96)))]
+    assert p6_clusters.clusters(spark.createDataFrame(rows, RECORD))[0].count() == 40
+
+
 def test_pivots_grow_with_the_rows(spark, monkeypatch):
     from engramlake.llm import cells
 
