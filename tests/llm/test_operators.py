@@ -207,6 +207,22 @@ def test_repeats_equal_brute_force(spark):
     assert got == truth and sorted(s[1] for s in history.segments) == [0, 1, 1, 2] and len(history.vectors) == 10
 
 
+def test_blocks_of_queries_meet_the_shards_one_after_another(spark, monkeypatch):
+    """All blocks at once laid a copy of every shard for each of them on disk."""
+    written, write = [], p2_history.materialise
+    monkeypatch.setattr(p2_history, "materialise", lambda df, name: (written.append(name), write(df, name))[1])
+    monkeypatch.setattr(p2_history, "QUERY_BLOCK", 5)
+    x = vectors(12, seed=41)
+    texts = [" ".join(f"w{i}x{k}" for k in range(9)) for i in range(12)]
+    m = spark.createDataFrame([(f"m{i:02d}", texts[i], floats(x[i])) for i in range(6)], "id string, content string, vector array<float>")
+    new = [(f"i{i:02d}", i, 0, texts[i], floats(x[(i + 3) % 12])) for i in range(12)]
+    inc = spark.createDataFrame(new, "incoming_id string, seq long, batch_no long, content string, vector array<float>")
+    got = {r[0] for r in p2_history.repeats(m, inc).collect()}
+    # by words 0 to 5; by vectors 9, 10, 11 (vectors 0, 1 and 2) and 0, 1, 2
+    assert got == {f"i{i:02d}" for i in (0, 1, 2, 3, 4, 5, 9, 10, 11)}
+    assert written.count("p2-found") == 6  # three blocks in the segments of the memories and of the delivery
+
+
 def test_segments_merge_logarithmically(spark, monkeypatch):
     m = spark.createDataFrame(sample_records("m", 40, 2), RECORD)
     f = p2_history.of_memories(m)
