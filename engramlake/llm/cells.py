@@ -56,7 +56,7 @@ class Cells:
         """Cells for about `size` of vectors(id, v) each; reduce is applied to the unit vectors first."""
         to = reduce or (lambda x: x)
         chosen = lambda share, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1_000_000)) < F.ceil(share * 1_000_000)
-        got = vectors.filter(chosen(F.lit(min(1.0, SAMPLE / max(1, rows))), seed)).select("v").limit(2 * SAMPLE).toPandas()
+        got = vectors.filter(chosen(F.lit(min(1.0, SAMPLE / max(1, rows))), seed)).select("v").limit(2 * SAMPLE).toArrow().to_pandas()  # as Python floats it would be eight times as much
         x = to(unit(stack(got["v"]))) if len(got) else to(np.zeros((1, dim), np.float32))
         first = kmeans(x, int(min(max(1, rows // size), max(1, len(x) // 10), FIRST)), seed=seed)
         held = np.bincount(nearest(x, first, 1)[:, 0], minlength=len(first)) * (rows / len(x))
@@ -82,7 +82,7 @@ class Cells:
 
         u = (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1_000_000)) / 1_000_000.0).alias("u")
         drawn = vectors.select("v", u).filter(F.col("u") < most).mapInPandas(draw, "cell int, y array<float>")
-        below = drawn.groupBy("cell").applyInPandas(split, "cell int, share double, y array<float>").toPandas()  # at most FIRST * SECOND rows
+        below = drawn.groupBy("cell").applyInPandas(split, "cell int, share double, y array<float>").toArrow().to_pandas()  # at most FIRST * SECOND rows
         parts, sizes, starts = [], [], [0]
         for i in range(len(first)):
             own = below[below["cell"] == i]

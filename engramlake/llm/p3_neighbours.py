@@ -152,47 +152,38 @@ def neighbours(
     Only others with a cosine of `least` or more come out; ties go to the smaller id.
     """
     w = Window.partitionBy("h", "h2").orderBy("id")
-    good = (
-        records.filter(F.col("id").isNotNull() & usable(F.col(field), dim))
-        .select("id", F.xxhash64(field).alias("h"), F.hash(field).alias("h2"))
-        .distinct()
-    )
+    ok = records.filter(F.col("id").isNotNull() & usable(F.col(field), dim))
+    # every step is written, so that no plan holds more than a few joins: the driver's memory grows with the largest of them
+    good = materialise(ok.select("id", F.xxhash64(field).alias("h"), F.hash(field).alias("h2")).distinct(), "p3-rows")
     # the k + 1 smallest ids of each distinct vector; the first stands for it
     firsts = materialise(good.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k + 1), "p3-copies")
     rows = records.count()
-    heads = firsts.filter("n = 1").select("id", F.xxhash64("id").alias("h"), F.col("h").alias("vh"), "h2")
-    vec = (
-        records.filter(F.col("id").isNotNull() & usable(F.col(field), dim))
-        .select("id", F.xxhash64("id").alias("h"), F.col(field).alias("v"))
-    )
+    vec = ok.select("id", F.xxhash64("id").alias("h"), F.col(field).alias("v"))
     many = firsts.filter("n = 2").select("h", "h2")
-    copied = firsts.join(many, ["h", "h2"], "left_semi")
+    copied = materialise(firsts.join(many, ["h", "h2"], "left_semi"), "p3-copied")
     # only copies other than the first are taken out of the scan; a copy class of any size passes as ids, not vectors
     extra = good.join(many, ["h", "h2"], "left_semi").join(copied.filter("n = 1").select("id"), "id", "left_anti").select("id")
-    single = vec.join(extra, "id", "left_anti")
+    single = vec.join(materialise(extra, "p3-extra"), "id", "left_anti")
     pairs = materialise(candidates(single, rows, dim, k, least, probes), "p3-pairs")
     ids = materialise(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "p3-ids")
     few = ids.count() <= BROADCAST_IDS
     need = vec.join(F.broadcast(ids) if few else ids, "h", "left_semi").dropDuplicates(["h"])
-    one = need.select(F.col("h").alias("a"), F.col("id").alias("x"), F.col("v").alias("v1"))
-    two = need.select(F.col("h").alias("b"), F.col("id").alias("y"), F.col("v").alias("v2"))
-    exact = (
+    need = need.select("h", "v", F.xxhash64("v").alias("g"), F.hash("v").alias("g2"))
+    one = need.withColumnsRenamed({"h": "a", "v": "v1", "g": "gx", "g2": "gx2"})
+    two = need.withColumnsRenamed({"h": "b", "v": "v2", "g": "gy", "g2": "gy2"})
+    exact = materialise(
         pairs.join(one, "a")
         .join(two, "b")
-        .select("x", "y", cosine(F.col("v1"), F.col("v2")).alias("cosine"))
-        .filter(F.col("cosine") >= least)
-    )
-    both = exact.unionByName(exact.select(F.col("y").alias("x"), F.col("x").alias("y"), "cosine"))
-    # candidates of a head: the first ids of each near vector; of a copy: those of its own vector too
-    group = heads.select("id", "vh", "h2")
-    near = (
-        both.join(group.withColumnsRenamed({"id": "x", "vh": "gx", "h2": "gx2"}), "x")
-        .join(group.withColumnsRenamed({"id": "y", "vh": "gy", "h2": "gy2"}), "y")
-        .select("gx", "gx2", "gy", "gy2", "cosine")
+        .select("gx", "gx2", "gy", "gy2", cosine(F.col("v1"), F.col("v2")).alias("cosine"))
+        .filter(F.col("cosine") >= least),
+        "p3-exact",
     )
+    # candidates of a vector: the first ids of each near vector; of a copy: those of its own vector too
+    near = exact.unionByName(exact.toDF("gy", "gy2", "gx", "gx2", "cosine"))
     firsts2 = firsts.select(F.col("h").alias("gy"), F.col("h2").alias("gy2"), F.col("id").alias("other"))
     w2 = Window.partitionBy("gx", "gx2").orderBy(F.desc("cosine"), "other")
     best = near.join(firsts2, ["gy", "gy2"]).withColumn("r", F.row_number().over(w2)).filter(F.col("r") <= k).select("gx", "gx2", "other", "cosine")
+    best = materialise(best, "p3-best")
     own = copied.select(F.col("h").alias("gx"), F.col("h2").alias("gx2"), F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
     asks = good.select(F.col("h").alias("gx"), F.col("h2").alias("gx2"), "id")
     w3 = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
@@ -213,5 +204,6 @@ def close_pairs(records: DataFrame, fields: dict[str, int], k: int = 5, least: f
         p = n.select(
             F.least("id", "other").alias("memory_id_a"), F.greatest("id", "other").alias("memory_id_b"), F.lit(field).alias("vec_field")
         ).distinct()
+        p = materialise(p, f"p3-{field}")
         out = p if out is None else out.unionByName(p)
     return out

@@ -334,6 +334,24 @@ def test_neighbours_over_parts_of_cells_and_two_levels(spark, monkeypatch):
     assert found <= truth and len(found) >= 0.9 * len(truth)
 
 
+def test_no_plan_of_close_pairs_is_large(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in executions(store)}
+    rows = sample_records("m", 150, 4)
+    two = [(*r, r[2]) for r in rows + [(f"c{i}", "", rows[0][2], "") for i in range(9)]]  # with copies
+    got = p3_neighbours.close_pairs(spark.createDataFrame(two, RECORD + ", tags_vector array<float>"), {"vector": 96, "tags_vector": 96})
+    truth = brute_near([r[:4] for r in two], 5, 0.96)
+    assert {tuple(r) for r in got.collect()} == {(a, b, f) for a, b in truth for f in ("vector", "tags_vector")}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    own = [e.executionId() for e in executions(store) if e.executionId() not in before]
+    assert own and max(store.planGraph(e).allNodes().size() for e in own) <= 100
+
+
+def executions(store):
+    e = store.executionsList()
+    return [e.apply(i) for i in range(e.size())]
+
+
 def test_recall_of_all_neighbours(spark, sf):
     from engramlake.tables import read
 
